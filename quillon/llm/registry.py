@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack
+from .runtime import scratch
 from .token_counts import count_tokens
+from .warc import read_archives, write_archives
 
 
 def _vocabulary(name: str) -> str:
@@ -17,13 +20,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 2048 tokens."""
+    return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = scratch(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).where("ok").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the word-ending BPE vocabulary."""
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_token_counts,)}
+    return {f.__name__: f for f in (op6_packing, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
