@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import predict_language
 from .packing import pack
 from .runtime import scratch
 from .token_counts import count_tokens
@@ -25,6 +26,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return predict_language(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     path = scratch(spark, "warc")
@@ -38,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_packing, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op6_packing, op8_language, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
