@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import contamination
+from .contamination import find_contamination
 from .language import predict_language
 from .packing import pack
 from .runtime import scratch
@@ -21,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
@@ -44,8 +51,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_packing, op8_language, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op3_contamination, op6_packing, op8_language, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_contamination": contamination.SQL}
