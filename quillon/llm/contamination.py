@@ -122,7 +122,7 @@ words AS (
   SELECT kind, row_id, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM texts WHERE text IS NOT NULL),
 shingles AS (
-  SELECT DISTINCT kind, row_id, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' '))) AS s
+  SELECT DISTINCT kind, row_id, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
   FROM words WHERE len(w) > 0),
 sizes AS (SELECT row_id, count(*) AS n_item FROM shingles WHERE kind = 1 GROUP BY row_id),
 shared AS (
