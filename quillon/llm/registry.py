@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import contamination
 from .contamination import find_contamination
+from .jaccard import jaccard_components
 from .language import predict_language
 from .packing import pack
 from .runtime import scratch
@@ -28,6 +29,11 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies."""
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 2048 tokens."""
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
@@ -51,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_contamination, op6_packing, op8_language, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op3_contamination, op5_jaccard, op6_packing, op8_language, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
