@@ -10,6 +10,7 @@ from .jaccard import jaccard_components
 from .language import predict_language
 from .packing import pack
 from .runtime import scratch
+from .secrets import scan_secrets
 from .token_counts import count_tokens
 from .warc import read_archives, write_archives
 
@@ -24,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item."""
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -57,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_contamination, op5_jaccard, op6_packing, op8_language, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op3_contamination, op5_jaccard, op6_packing, op8_language, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
