@@ -8,6 +8,7 @@ from . import contamination
 from .contamination import find_contamination
 from .jaccard import jaccard_components
 from .language import predict_language
+from .lines import dropped_lines
 from .packing import pack
 from .runtime import scratch
 from .secrets import scan_secrets
@@ -35,6 +36,11 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines of every document."""
+    return dropped_lines(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
@@ -63,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_contamination, op5_jaccard, op6_packing, op8_language, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op3_contamination, op4_lines, op5_jaccard, op6_packing, op8_language, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
