@@ -9,6 +9,7 @@ from .contamination import find_contamination
 from .jaccard import jaccard_components
 from .language import predict_language
 from .lines import dropped_lines
+from .lm import score_texts
 from .packing import pack
 from .runtime import scratch
 from .secrets import scan_secrets
@@ -51,6 +52,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document."""
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return predict_language(_table(spark, sf_dir, "documents"))
@@ -69,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_contamination, op4_lines, op5_jaccard, op6_packing, op8_language, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op3_contamination, op4_lines, op5_jaccard, op6_packing, op7_lm, op8_language, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
