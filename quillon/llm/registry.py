@@ -10,6 +10,7 @@ from .jaccard import jaccard_components
 from .language import predict_language
 from .lines import dropped_lines
 from .lm import score_texts
+from .neighbours import nearest_neighbours
 from .packing import pack
 from .runtime import scratch
 from .secrets import scan_secrets
@@ -32,6 +33,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item."""
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -75,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op3_contamination, op4_lines, op5_jaccard, op6_packing, op7_lm, op8_language, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_contamination, op4_lines, op5_jaccard, op6_packing, op7_lm, op8_language, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
