@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel takes at once.
 CHUNK_BYTES = 2 << 20
@@ -35,6 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a stored id table up to which it is broadcast (16 MB of longs); beyond it joins shuffle.
+BROADCAST_IDS = 1 << 21
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if its size allows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, UTF-8 bytes, row offsets into them) for runs of rows of about `limit` bytes; null counts as empty.
 
