@@ -24,7 +24,7 @@ def bound_weights(weights: np.ndarray, gates: np.ndarray, most: float) -> np.nda
     return np.clip(weights, -most * gates[:, None], most * gates[:, None])
 
 
-def train_gates(x: np.ndarray, y: np.ndarray, groups: np.ndarray, seed: int, l1: float = 0.02, hidden: int = 16, epochs: int = 60, rate: float = 0.01, most: float = 10.0, batch: int = 64) -> tuple[np.ndarray, float]:
+def train_gates(x: np.ndarray, y: np.ndarray, groups: np.ndarray, seed: int, l1: float = 0.5, hidden: int = 16, epochs: int = 60, rate: float = 0.01, most: float = 10.0, batch: int = 64) -> tuple[np.ndarray, float]:
     """(gate of each feature, held-out accuracy) of one network; groups maps columns to features; a fifth of the rows is held out."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
