@@ -269,7 +269,7 @@ def reg06_forest_r2(t: Tables) -> DataFrame:
 
 @query()
 def nn08_gate_importance(t: Tables) -> DataFrame:
-    rows = t.lineitem.withColumn("y", (F.col("l_extendedprice") > 40000).cast("int"))
+    rows = t.lineitem.withColumn("y", (F.col("l_quantity") > 25).cast("int"))
     return importance.summarise(importance.run_gates(rows, _COLUMNS, "y", runs=4, sample_rows=2000, epochs=15))
 
 

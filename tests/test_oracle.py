@@ -26,7 +26,9 @@ def rows(frame: pd.DataFrame) -> list[str]:
     def plain(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return None
-        return round(float(v), 6) if isinstance(v, (float, np.floating)) else v
+        if isinstance(v, (bool, np.bool_)):
+            return bool(v)
+        return round(float(v), 6) if isinstance(v, (int, float, np.number)) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(str(tuple(plain(v) for v in r)) for r in frame.itertuples(index=False, name=None))
