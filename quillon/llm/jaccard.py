@@ -8,9 +8,9 @@ further checks, and linking each to the smallest set of the subset keeps their c
 
 Heavy sets are joined by inverted lists over each set's rarest shingles, as many as it may miss plus one (any linked
 pair meets in one of these lists; frequencies come from a count sketch of fixed size over all documents, which only sets
-the order). In a list, sorted by size, each set is first compared with the one before it and with the first; links found are
-contracted to components, and then every pair of a list whose sets are of fitting size and still of different components is
-compared, so no link between components is lost and tight groups never form all pairs. Lists of very frequent shingles
+the order). In a list each set is first compared with its neighbours by size and by id and with the smallest; links found are
+contracted to components, and then every pair of a list whose sets are of fitting size, of near parity bitmaps and still of
+different components is compared, so no link between components is lost and tight groups never form all pairs. Lists of very frequent shingles
 are dealt over several buckets by a salt and meet again in the second step.
 
 The boundary minimises the cost of both parts over the corpus's histogram of sizes. Comparisons are exact on the full sets
@@ -23,13 +23,14 @@ other columns are dropped; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing, routed
@@ -45,6 +46,8 @@ LIST_COST = 16
 BROADCAST_IDS = 1 << 21
 _LIGHT, _HOT = 1 << 62, 1 << 61
 _LINK, _CANDIDATE, _REST = 0, 1, 2
+#: Words of a set's parity bitmap. Its bits flip with each shingle, so two sets' bitmaps differ in no more bits than the sets in shingles.
+BITMAP_WORDS = 8
 
 
 def needed(size: int, percent: int) -> int:
@@ -102,26 +105,27 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sets_and_sketch(rows: DataFrame, size: int) -> DataFrame:
-    """kind 0: key, text_hash, n, set_id of each row; kind 1: a task's counts of shingle hashes, in parts."""
+    """kind 0: key, text_hash, n, set_id and bitmap words of each row; kind 1: a task's counts of shingle hashes, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
-        names = ["kind", "key", "text_hash", "n", "set_id", "counts"]
+        names = ["kind", "key", "text_hash", "n", "set_id", "counts", *_words()]
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, bits = [], [], []
             for _, data, offsets in text_chunks(batch.column(2)):
                 own = shingle_sets(data, offsets, size)
                 sizes += [len(s) for s in own]
                 ids += [set_id(s) for s in own]
+                bits += [bitmap(s) for s in own]
                 sketch += np.bincount((np.concatenate(own) & mask).astype(np.int64), minlength=1 << SKETCH_BITS)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), _signed(np.array(ids, np.uint64)), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), _signed(np.array(ids, np.uint64)), pa.nulls(n, pa.binary()), *(pa.array(b, pa.int64()) for b in np.array(bits, np.int64).reshape(n, BITMAP_WORDS).T)], names)
         parts = np.minimum(sketch, 2**31 - 1).astype("<i4").reshape(SKETCH_PARTS, -1)
         if parts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SKETCH_PARTS, np.int32)), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.array(np.arange(SKETCH_PARTS)), pa.nulls(SKETCH_PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(SKETCH_PARTS, np.int32)), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.array(np.arange(SKETCH_PARTS)), pa.nulls(SKETCH_PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), *(pa.nulls(SKETCH_PARTS, pa.int64()) for _ in range(BITMAP_WORDS))], names)
 
-    return rows.mapInArrow(run, "kind int, key long, text_hash long, n long, set_id long, counts binary")
+    return rows.mapInArrow(run, ", ".join(["kind int, key long, text_hash long, n long, set_id long, counts binary", *(f"{w} long" for w in _words())]))
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -202,7 +206,10 @@ def _met(entries: DataFrame, percent: int, boundary: int) -> DataFrame:
         add(_LINK, e["key"][link[good]], e["id"][head[good]], e["id"][link[good]], n[link[good]])
         later = at[(at > first) & ~light[at]]
         head = edges[run_of[later]]
-        for x, y in ((later - 1, later), (head[head < later - 1], later[head < later - 1])):
+        by_id = later[np.lexsort((e["id"][later], e["key"][later]))]
+        same = np.flatnonzero(e["key"][by_id[1:]] == e["key"][by_id[:-1]])
+        across = np.sort(np.stack([by_id[same], by_id[same + 1]]), axis=0)  # places stand by size
+        for x, y in ((later - 1, later), (head[head < later - 1], later[head < later - 1]), (across[0], across[1])):
             fit = (n[y] * percent <= n[x] * 100) & (n[y] > boundary) & (e["id"][x] != e["id"][y])
             add(_CANDIDATE, e["key"][y[fit]], np.minimum(e["id"][x[fit]], e["id"][y[fit]]), np.maximum(e["id"][x[fit]], e["id"][y[fit]]), n[y[fit]])
         every = np.flatnonzero(~light & ((np.diff(edges)[run_of] > 2) | hot)) if len(e) else at
@@ -212,26 +219,42 @@ def _met(entries: DataFrame, percent: int, boundary: int) -> DataFrame:
     return entries.groupBy("bucket").applyInPandas(run, "kind int, key long, a long, b long, n long")
 
 
-def _fetched(rows: DataFrame, sets: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, its set's hashes) for each id, from one text that has the set."""
-    texts = stored(sets.where("n > 0").groupBy("set_id").agg(F.min("text_hash").alias("text_hash")).join(ids.withColumnRenamed("id", "set_id"), "set_id", "left_semi").select("text_hash"), "texts")
+def bitmap(own: np.ndarray) -> np.ndarray:
+    bits = np.bincount((own & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _fetched(rows: DataFrame, distinct: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, its set's hashes) for each id, from the one text that stands for the set."""
+    texts = stored(distinct.join(ids, "id", "left_semi").select("at.*").toDF("_key", "_hash"), "texts")
     wanted = F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            fresh = []
-            for i, h in enumerate(batch.column(1).to_pylist()):
-                if h not in seen:
-                    seen.add(h)
-                    fresh.append(i)
-            batch = batch.take(pa.array(fresh, pa.int64()))
-            for _, data, offsets in text_chunks(batch.column(2)):
+            for _, data, offsets in text_chunks(batch.column(0)):
                 own = shingle_sets(data, offsets, size)
                 yield pa.RecordBatch.from_arrays([_signed(np.array([set_id(s) for s in own], np.uint64)), pa.array([s.tobytes() for s in own], pa.binary())], ["id", "hashes"])
 
-    made = rows.join(wanted, "text_hash", "left_semi").select("key", "text_hash", "text").mapInArrow(run, "id long, hashes binary")
-    return stored(made.groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+    chosen = rows.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+    return stored(chosen.select("text").mapInArrow(run, "id long, hashes binary"), "sets")
+
+
+def _words(prefix: str = "b") -> list[str]:
+    return [f"{prefix}{k}" for k in range(BITMAP_WORDS)]
+
+
+def _near(percent: int, boundary: int, x: str = "x", y: str = "y") -> Column:
+    """What two linked sets' sizes (nx, ny) and bitmaps fulfil; only pairs with a heavy set are asked about."""
+    n = F.col(f"n{x}") + F.col(f"n{y}")
+    apart = reduce(Column.__add__, (F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in range(BITMAP_WORDS)))
+    fits = (F.greatest(f"n{x}", f"n{y}") * percent <= F.least(f"n{x}", f"n{y}") * 100) & (F.greatest(f"n{x}", f"n{y}") > boundary)
+    return fits & (apart <= n - 2 * F.expr(f"(n{x} + n{y}) * {percent} div {100 + percent}"))
+
+
+def _filtered(pairs: DataFrame, distinct: DataFrame, percent: int, boundary: int) -> DataFrame:
+    left = distinct.select(F.col("id").alias("a"), F.col("n").alias("nx"), *(F.col(w).alias(f"x{w[1:]}") for w in _words()))
+    right = distinct.select(F.col("id").alias("b"), F.col("n").alias("ny"), *(F.col(w).alias(f"y{w[1:]}") for w in _words()))
+    return pairs.join(left, "a").join(right, "b").where(_near(percent, boundary)).select("a", "b")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,11 +279,12 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, k
     spark: SparkSession = documents.sparkSession
     rows = documents.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     both = stored(_sets_and_sketch(rows, size), "shingle-sets")
-    sets = both.where("kind = 0").select("key", "text_hash", "n", "set_id")
-    distinct = sets.where("n > 0").select("set_id", "n").distinct()
+    sets = both.where("kind = 0").select("key", "text_hash", "n", "set_id", *_words())
+    fixed = (F.min(c).alias(c) for c in ("n", *_words()))
+    distinct = stored(sets.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(*fixed, F.min(F.struct("key", "text_hash")).alias("at")), "distinct-sets")
     histogram = {r["m"]: r["count"] for r in distinct.groupBy(F.least("n", F.lit(64)).alias("m")).count().collect()}
     boundary = choose_boundary(histogram, percent, list_cost)
-    volume = distinct.where("n > 0").agg(F.sum("n").alias("n")).first()["n"] or 0
+    volume = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
     light = sum(c * sum(comb(n, s) for s in subset_sizes(n, boundary, percent)) for n, c in histogram.items() if n <= boundary)
     buckets = max(16, int((volume * (100 - percent) // 100 + light) // routed.PER_BUCKET))
 
@@ -269,22 +293,25 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, k
     links = met.where(F.col("kind") == _LINK).select("a", "b").distinct()
     pairs = met.where(F.col("kind") == _CANDIDATE).select("a", "b").distinct()
     rest = met.where(F.col("kind") == _REST).select("key", F.col("a").alias("id"), "n")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("id")).distinct()
-    fetched = _fetched(rows, sets, ids, size)
-    links = stored(links.unionByName(_compared(pairs, fetched, percent)), "links")
+
+    def linked(candidates: DataFrame, name: str) -> DataFrame:
+        near = stored(candidates, name)
+        return _compared(near, _fetched(rows, distinct, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), size), percent)
+
+    links = stored(links.unionByName(linked(_filtered(pairs, distinct, percent, boundary), "near")), "links")
     reached = components(links)
 
-    rest = stored(rest.join(reached, rest["id"] == reached["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")), "rest")
+    rest = rest.join(reached, rest["id"] == reached["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    rest = stored(rest.join(distinct.drop("at"), "id"), "rest")
     split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = rest.join(split, "key", "left_semi")
-    x, y = rest.toDF("key", "a", "na", "ca"), rest.toDF("key", "b", "nb", "cb")
-    fits = (F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100) & (F.greatest("na", "nb") > boundary)
-    others = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-    more = stored(_compared(others, fetched, percent), "more-links")
+    rest = rest.join(split, "key", "left_semi").select("key", "id", "c", "n", *_words())
+    x, y = rest.toDF("key", "a", "ca", "nx", *_words("x")), rest.toDF("key", "b", "cb", "ny", *_words("y"))
+    others = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(percent, boundary)).select("a", "b").distinct()
+    more = stored(linked(others, "others"), "more-links")
     if not more.isEmpty():
         reached = components(links.unionByName(more))
 
-    named = sets.join(reached.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
+    named = sets.select("key", "n", "set_id").join(reached.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     least = named.where("n > 0").groupBy("c").agg(F.min("key").alias("least"))
     named = named.join(least, "c", "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
     return named.withColumnRenamed("key", key)
