@@ -21,7 +21,7 @@ from quillon.llm.runtime import bounded, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected if it has no letter, or if no language gets this much of its positions' probability.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
