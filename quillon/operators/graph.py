@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
 
 
+def random_dag(nodes: int, most_parents: int, seed: int) -> list[tuple[int, int]]:
+    """Edges from lower to higher numbers, each node with at most `most_parents` of them; a driver-sized plan of a system."""
+    rng = np.random.default_rng(seed)
+    edges = []
+    for j in range(1, nodes):
+        for i in rng.choice(j, min(j, int(rng.integers(0, most_parents + 1))), replace=False):
+            edges.append((int(i), j))
+    return edges
+
+
 def pair_classes(edges: DataFrame) -> DataFrame:
     """(i, j, class) of the unordered pairs that share an edge (edge) or only a neighbour (two_hop); all others are far."""
     both = both_ways(edges).where("src <> dst")

@@ -24,6 +24,18 @@ def bound_weights(weights: np.ndarray, gates: np.ndarray, most: float) -> np.nda
     return np.clip(weights, -most * gates[:, None], most * gates[:, None])
 
 
+def soft_f1_loss(p: np.ndarray, y: np.ndarray) -> float:
+    """1 - F1 with probabilities in place of decisions."""
+    hit = (p * y).sum()
+    return float(1 - 2 * hit / (2 * hit + (p * (1 - y)).sum() + ((1 - p) * y).sum() + 1e-12))
+
+
+def input_relevance(x: np.ndarray, w: np.ndarray, b: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Mean |gradient * input| of each column for the network tanh(x w + b) v."""
+    h = np.tanh(x @ w + b)
+    return np.abs(((1 - h**2) * v) @ w.T * x).mean(axis=0)
+
+
 def train_gates(x: np.ndarray, y: np.ndarray, groups: np.ndarray, seed: int, l1: float = 0.5, hidden: int = 16, epochs: int = 60, rate: float = 0.01, most: float = 10.0, batch: int = 64) -> tuple[np.ndarray, float]:
     """(gate of each feature, held-out accuracy) of one network; groups maps columns to features; a fifth of the rows is held out."""
     rng = np.random.default_rng(seed)

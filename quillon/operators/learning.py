@@ -181,3 +181,29 @@ def gain_table(errors: DataFrame, keys: list[str]) -> DataFrame:
     out = wide.withColumn("marginal_gain", F.col("none") - F.col("source_only")).withColumn("conditional_gain", F.col("other_only") - F.col("both"))
     verdict = F.when(F.col("conditional_gain") > 0, "direct").when(F.col("marginal_gain") > 0, "indirect").otherwise("none")
     return out.select(*by, "marginal_gain", "conditional_gain", verdict.alias("verdict"))
+
+
+def energy_ablation(x: np.ndarray, beta: float = 1.0) -> np.ndarray:
+    """Mean rise of the retrieval energy -logsumexp(beta <row, others>) / beta when each column is set to 0 in the query."""
+
+    def energy(q: np.ndarray) -> np.ndarray:
+        s = beta * (q @ x.T)
+        np.fill_diagonal(s, -np.inf)
+        top = s.max(axis=1)
+        return -(top + np.log(np.exp(s - top[:, None]).sum(axis=1))) / beta
+
+    base, out = energy(x), np.empty(x.shape[1])
+    for j in range(x.shape[1]):
+        q = x.copy()
+        q[:, j] = 0
+        out[j] = (energy(q) - base).mean()
+    return out
+
+
+def partial_correlations(cov: np.ndarray) -> np.ndarray:
+    """Correlations of each two columns given all others."""
+    precision = np.linalg.pinv(cov)
+    scale = np.sqrt(np.maximum(np.diag(precision), 1e-300))
+    out = -precision / np.outer(scale, scale)
+    np.fill_diagonal(out, 1.0)
+    return out

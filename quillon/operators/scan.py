@@ -162,3 +162,20 @@ def threshold_rules(ghosts: DataFrame) -> DataFrame:
     q = F.percentile("excess", F.array(F.lit(0.9), F.lit(0.95), F.lit(0.99)))
     row = ghosts.agg(F.max("excess").alias("max"), q.alias("q"), (F.avg("excess") + 3 * F.stddev_pop("excess")).alias("mean_3sd"))
     return row.selectExpr("stack(5, 'max', max, 'q99', q[2], 'q95', q[1], 'q90', q[0], 'mean_3sd', mean_3sd) AS (rule, threshold)")
+
+
+def outflows(rows: DataFrame, coded: DataFrame, config: ScanConfig) -> DataFrame:
+    """(channel, outflow): what a channel's own products add, beyond the present code, to predicting the code one step on."""
+    ahead = coded.select("t", F.lead("code", 1).over(Window.partitionBy(F.floor(F.col("t") / 100_000)).orderBy("t")).alias("next"))
+    joined = rows.join(coded, "t").join(ahead, "t").where(F.col("next").isNotNull())
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t")
+        own, train = products(np.stack(frame["own"]), config.degree), frame["train"].to_numpy()
+        now, after = np.stack(frame["code"]), np.stack(frame["next"])
+        if train.sum() < 2 or (~train).sum() < 2:
+            return pd.DataFrame({"channel": frame["channel"].iloc[:1], "outflow": [np.nan]})
+        r2 = [ridge_r2(x[train], after[train], x[~train], after[~train], config.ridge) for x in (now, np.hstack([now, own]))]
+        return pd.DataFrame({"channel": frame["channel"].iloc[:1], "outflow": [r2[1] - r2[0]]})
+
+    return joined.groupBy("channel").applyInPandas(score, "channel string, outflow double")

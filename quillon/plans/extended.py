@@ -281,3 +281,57 @@ def prep04_group_scale(t: Tables) -> DataFrame:
 def prep07_null_fraction(t: Tables) -> DataFrame:
     masked = t.documents.withColumn("x", F.when(~((F.col("n_chars") > 3000) | F.col("source").isNull()), F.col("n_chars")))
     return masked.groupBy("lang").agg(F.avg(F.col("x").isNull().cast("int")).alias("gap")).where("gap < 0.3").select("lang", F.round("gap", 9).alias("gap"))
+
+
+@query("WITH m AS (SELECT max(value) AS m FROM events WHERE event_type = 'error') SELECT count(*) FILTER (WHERE value <= m) AS buried, count(*) AS causal FROM events, m WHERE event_type = 'click'")
+def red16_causal_buried(t: Tables) -> DataFrame:
+    best = t.events.where("event_type = 'error'").agg(F.max("value").alias("m"))
+    return t.events.where("event_type = 'click'").join(F.broadcast(best)).agg(F.count_if(F.col("value") <= F.col("m")).alias("buried"), F.count(F.lit(1)).alias("causal"))
+
+
+@query()
+def drv12_outflow(t: Tables) -> DataFrame:
+    made = generators.coupled_system(t.spark, 0, 700, 8, 3)
+    config = scan.ScanConfig(degree=2, difference=False, members=1, code=4)
+    rows = scan.states(made, config)
+    return scan.outflows(rows, scan.codes(rows, config), config)
+
+
+@query()
+def drv17_spatial_clustering(t: Tables) -> DataFrame:
+    """Median nearest distance on the sphere of the best customers against hash-drawn sets of the same size."""
+    x, y, z = scalar.unit_sphere(F.col("c_nationkey") * 6.0 - 75 + F.col("c_custkey") % 5, F.col("c_custkey") * 1.0)
+    places = t.customer.select("c_custkey", "c_acctbal", x.alias("x"), y.alias("y"), z.alias("z"))
+    sets = [(-1, F.desc("c_acctbal"))] + [(k, F.asc(F.xxhash64(F.lit(k), "c_custkey"))) for k in range(5)]
+    drawn = [places.orderBy(o, "c_custkey").limit(50).withColumn("draw", F.lit(k)) for k, o in sets]
+    every = drawn[0]
+    for d in drawn[1:]:
+        every = every.unionByName(d)
+    other = every.select("draw", F.col("c_custkey").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
+    chord = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2)
+    near = every.join(other, "draw").where("c_custkey <> o").groupBy("draw", "c_custkey").agg(F.min(chord).alias("d"))
+    return near.groupBy("draw").agg(F.median("d").alias("median_distance"))
+
+
+@query()
+def grf01_random_dag(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(graph.random_dag(30, 2, 7), "src long, dst long")
+
+
+@query()
+def red23_energy_ablation(t: Tables) -> DataFrame:
+    x = np.array([r[0] for r in t.embeddings.orderBy("vec_id").limit(150).select("embedding").collect()])
+    return t.spark.createDataFrame([(j, float(v)) for j, v in enumerate(learning.energy_ablation(x, 4.0))], "place int, rise double")
+
+
+@query()
+def ts28_lagged_partial_correlation(t: Tables) -> DataFrame:
+    made = generators.coupled_system(t.spark, 0, 600, 5, 2)
+    w = Window.partitionBy("channel").orderBy("t")
+    both = made.select("t", "channel", "value", F.lag("value").over(w).alias("before"))
+    names = [f"c{j:04d}" for j in range(5)]
+    wide = both.groupBy("t").agg(*(F.max(F.when(F.col("channel") == c, F.col(v))).alias(f"{c}_{v}") for c in names for v in ("value", "before")))
+    columns = [f"{c}_{v}" for v in ("value", "before") for c in names]
+    _, _, cov = redundancy.moments(wide, columns)
+    p = learning.partial_correlations(cov)
+    return t.spark.createDataFrame([(a, b, float(abs(p[i, 5 + j]))) for i, b in enumerate(names) for j, a in enumerate(names) if i != j], "cause string, effect string, strength double")
