@@ -2,31 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import stored
 
 
+def smallest_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable) of the edges u-v, by hooking roots to smaller ones and halving paths."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        if (low == high).all():
+            return nodes, nodes[root]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """Each partition's edges (u, v) contracted to stars around their smallest nodes, without a shuffle."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            nodes, roots = smallest_reached(frame["u"].to_numpy(), frame["v"].to_numpy())
+            keep = nodes != roots
+            yield pd.DataFrame({"u": nodes[keep], "v": roots[keep]})
+
+    return edges.select("u", "v").mapInPandas(run, "u long, v long")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component = smallest node reachable) for every node of links (a, b), by alternating large and small stars.
 
-    Every round is a few equi-joins and minima; its table is written, so lineage stays short and a lost executor costs one round.
+    Every round is a few minima and equi-joins; its table is contracted inside partitions and written, so lineage stays short and a
+    lost executor costs one round.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = stored(_forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        edges = stored(_forest(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")), "edges")
+        settled = edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w"))
+        now = tuple(settled.agg(F.count("*"), F.sum(F.xxhash64("u", "v", "w").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    edges = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return edges.unionByName(edges.select(F.col("component").alias("node"), "component").distinct())

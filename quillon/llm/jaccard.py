@@ -8,9 +8,10 @@ further checks, and linking each to the smallest set of the subset keeps their c
 
 Heavy sets are joined by inverted lists over each set's rarest shingles, as many as it may miss plus one (any linked
 pair meets in one of these lists; frequencies come from a count sketch of fixed size over all documents, which only sets
-the order). In a list each set is first compared with its neighbours by size and by id and with the smallest; links found are
-contracted to components, and then every pair of a list whose sets are of fitting size, of near parity bitmaps and still of
-different components is compared, so no link between components is lost and tight groups never form all pairs. Lists of very frequent shingles
+the order). All pairs of a short list are candidates; in a longer one each set first meets a few neighbours in two orders and the
+smallest set. Candidates of fitting size and near parity bitmaps are compared, links found are contracted to components, and then
+every such pair of a long list whose sets are still of different components is compared, so no link between components is lost and
+tight groups never form all pairs. Lists of very frequent shingles
 are dealt over several buckets by a salt and meet again in the second step.
 
 The boundary minimises the cost of both parts over the corpus's histogram of sizes. Comparisons are exact on the full sets
@@ -40,6 +41,9 @@ from .runtime import stored, text_chunks
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Sets of a list that one bucket takes before the list is dealt over more.
 HOT_LIST = 1 << 18
+#: Sets of a list up to which all its pairs are candidates at once, and neighbours that each set of a longer list meets at first in
+#: each of two orders (by size, by hash).
+SHORT_LIST, MEETINGS = 8, 3
 #: Cost of an inverted-list entry (scan and comparisons), in hashed subsets.
 LIST_COST = 16
 #: Ids up to which the fetch of texts broadcasts them (16 MB); beyond it they are joined by shuffle.
@@ -185,7 +189,7 @@ def _entries(rows: DataFrame, size: int, percent: int, boundary: int, buckets: i
 
 
 def _met(entries: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """Links of light sets, candidates of heavy lists, and the rows of lists of three or more."""
+    """Links of light sets, candidates of heavy lists, and the rows of long lists."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         e, edges = routed.unpacked(frame["entries"])
@@ -204,15 +208,27 @@ def _met(entries: DataFrame, percent: int, boundary: int) -> DataFrame:
         head = edges[run_of[link]]
         good = c[link] * 100 >= (n[head] + n[link] - c[link]) * percent
         add(_LINK, e["key"][link[good]], e["id"][head[good]], e["id"][link[good]], n[link[good]])
-        later = at[(at > first) & ~light[at]]
-        head = edges[run_of[later]]
-        by_id = later[np.lexsort((e["id"][later], e["key"][later]))]
-        same = np.flatnonzero(e["key"][by_id[1:]] == e["key"][by_id[:-1]])
-        across = np.sort(np.stack([by_id[same], by_id[same + 1]]), axis=0)  # places stand by size
-        for x, y in ((later - 1, later), (head[head < later - 1], later[head < later - 1]), (across[0], across[1])):
+        heavy = at[~light[at]]
+        length, begin = np.diff(edges)[run_of[heavy]], edges[run_of[heavy]]
+
+        def candidates(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = np.minimum(x, y), np.maximum(x, y)  # places stand by size
             fit = (n[y] * percent <= n[x] * 100) & (n[y] > boundary) & (e["id"][x] != e["id"][y])
-            add(_CANDIDATE, e["key"][y[fit]], np.minimum(e["id"][x[fit]], e["id"][y[fit]]), np.maximum(e["id"][x[fit]], e["id"][y[fit]]), n[y[fit]])
-        every = np.flatnonzero(~light & ((np.diff(edges)[run_of] > 2) | hot)) if len(e) else at
+            x, y = x[fit], y[fit]
+            add(_CANDIDATE, e["key"][y], np.minimum(e["id"][x], e["id"][y]), np.maximum(e["id"][x], e["id"][y]), n[y])
+
+        short = length <= SHORT_LIST
+        for step in range(1, SHORT_LIST):
+            x = heavy[short & (heavy - begin + step < length)]
+            candidates(x, x + step)
+        large = heavy[~short]
+        head = edges[run_of[large]]
+        candidates(head[large > head], large[large > head])
+        for order in (large, large[np.lexsort((hashing.mix(e["id"][large] ^ e["key"][large]), e["key"][large]))] if len(large) else large):
+            for step in range(1, MEETINGS + 1):
+                same = np.flatnonzero(e["key"][order[step:]] == e["key"][order[:-step]]) if len(order) > step else np.zeros(0, np.int64)
+                candidates(order[same], order[same + step])
+        every = np.flatnonzero(~light & ((np.diff(edges)[run_of] > SHORT_LIST) | hot)) if len(e) else at
         add(_REST, e["key"][every], e["id"][every], e["id"][every], n[every])
         return pd.concat(out)
 
@@ -299,17 +315,16 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, k
         return _compared(near, _fetched(rows, distinct, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), size), percent)
 
     links = stored(links.unionByName(linked(_filtered(pairs, distinct, percent, boundary), "near")), "links")
-    reached = components(links)
+    reached = stored(components(links), "reached")
 
-    rest = rest.join(reached, rest["id"] == reached["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    rest = stored(rest.join(distinct.drop("at"), "id"), "rest")
+    rest = stored(rest.join(reached, rest["id"] == reached["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")), "rest")
     split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = rest.join(split, "key", "left_semi").select("key", "id", "c", "n", *_words())
+    rest = rest.join(split, "key", "left_semi").join(distinct.drop("at"), "id").select("key", "id", "c", "n", *_words())
     x, y = rest.toDF("key", "a", "ca", "nx", *_words("x")), rest.toDF("key", "b", "cb", "ny", *_words("y"))
     others = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(percent, boundary)).select("a", "b").distinct()
     more = stored(linked(others, "others"), "more-links")
     if not more.isEmpty():
-        reached = components(links.unionByName(more))
+        reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = sets.select("key", "n", "set_id").join(reached.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     least = named.where("n > 0").groupBy("c").agg(F.min("key").alias("least"))

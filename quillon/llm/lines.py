@@ -277,11 +277,11 @@ def duplicate_lines(documents: DataFrame, threshold: int = 2, least: int = 20, k
     ids = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(rest.select("line")).distinct()
     lines = _fetched(rows, occurrences, ids, least)
     links = stored(_verified(pairs, lines, threshold), "links")
-    reached = components(links)
+    reached = stored(components(links), "reached")
     rest = rest.join(reached, rest["line"] == reached["node"], "left").select("key", "line", "aux", F.coalesce("component", "line").alias("class"))
     more = stored(_verified(_rest_pairs(rest, threshold), lines, threshold), "more-links")
     if not more.isEmpty():
-        reached = components(links.unionByName(more))
+        reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     classed = occurrences.join(reached.withColumnRenamed("node", "line"), "line", "left").select("key", "row", "place", F.coalesce("component", "line").alias("class"))
     first = classed.groupBy("class").agg(F.min(F.struct("key", "row", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")

@@ -56,6 +56,9 @@ def corpus(seed):
 def test_equals_brute_force(spark, seed, size, percent, cost, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(J, "HOT_LIST", 8)
+    if seed in (1, 2):
+        monkeypatch.setattr(J, "SHORT_LIST", 2)
+        monkeypatch.setattr(J, "MEETINGS", 1)
     rows = corpus(seed)
     out = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, n long"), size, percent, list_cost=cost).collect()
     want = brute(rows, size, percent)
