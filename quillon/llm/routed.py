@@ -14,7 +14,7 @@ import pyarrow as pa
 
 ENTRY = np.dtype([("key", "<u8"), ("id", "<u8"), ("aux", "<u8")])
 #: Entries that a mapper holds before it ships them, and that a bucket should have.
-FLUSH, PER_BUCKET = 1 << 20, 1 << 19
+FLUSH, PER_BUCKET = 1 << 19, 1 << 19
 SCHEMA = "bucket long, entries binary"
 
 
