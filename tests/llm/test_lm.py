@@ -74,3 +74,23 @@ def test_order_helps_where_there_is_order(spark):
 
 def test_empty_table(spark):
     assert lm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_pairs_of_the_training_part_are_arcs(spark, monkeypatch):
+    """The same check by brute force with every word as a state, as the query scores."""
+    monkeypatch.setattr(lm, "RUN_TOKENS", 3000)
+    rows = corpus()
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, score double")).collect()
+    key = lambda x: x[:5]
+    a = sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+    b = sorted(brute(rows, 0), key=key)
+    assert [key(x) for x in a] == [key(x) for x in b]
+    assert np.allclose([x[5:] for x in a], [x[5:] for x in b], rtol=1e-6)
+
+
+def test_rare_words_have_arcs(spark):
+    """Pairs of words far under 1/2000 of the tokens are scored by their pair counts."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in (rng.randrange(4000) for _ in range(40)))) for i in range(500)]
+    out = [r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    assert out and sum(r.score for r in out) > 0.9 * sum(r.base_score for r in out)
