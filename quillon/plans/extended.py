@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, stats
-from ..operators import graph, learning, manifold, redundancy, scan
+from ..operators import blocks, graph, learning, manifold, redundancy, scan
 from ..operators import relational as R
 from ..sources import generators
 from .catalogue import Tables, query
@@ -156,17 +156,13 @@ def reg01_grouped_ridge(t: Tables) -> DataFrame:
 
 @query()
 def reg09_component_knee(t: Tables) -> DataFrame:
-    x = np.array([r[0] for r in t.embeddings.orderBy("vec_id").limit(300).select("embedding").collect()])
-    scores = learning.component_r2(x, [1, 2, 4, 8, 16, 32, 64])
+    scores = blocks.component_r2(t.embeddings, "embedding", [1, 2, 4, 8, 16, 32, 64])
     return t.spark.createDataFrame([(r, s, learning.knee(scores, 0.5)) for r, s in scores.items()], "width int, r2 double, knee int")
 
 
 @query()
 def reg07_neighbour_regression(t: Tables) -> DataFrame:
-    rows = t.embeddings.orderBy("vec_id").limit(400).select("vec_id", "embedding", "label").collect()
-    x, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
-    seen = learning.neighbour_regression(x[:300], y[:300], x[300:], 5, True)
-    return t.spark.createDataFrame([(int(r[0]), float(s)) for r, s in zip(rows[300:], seen)], "vec_id long, predicted double")
+    return blocks.neighbour_regression(t.embeddings, "vec_id", "embedding", "label", 5)
 
 
 @query()
@@ -228,13 +224,7 @@ def red14_baseline_shares(t: Tables) -> DataFrame:
 
 @query()
 def red21_associative_reconstruction(t: Tables) -> DataFrame:
-    x = np.array([r[0] for r in t.embeddings.orderBy("vec_id").limit(200).select("embedding").collect()])
-    out = []
-    for kernel in ("dot", "cosine", "rbf"):
-        for own in (False, True):
-            seen = learning.associative_reconstruction(x, 8.0, kernel, own)
-            out.append((kernel, own, float(1 - ((x - seen) ** 2).sum() / ((x - x.mean(0)) ** 2).sum())))
-    return t.spark.createDataFrame(out, "kernel string, with_self boolean, r2 double")
+    return blocks.associative_r2(t.embeddings, "vec_id", "embedding", 8.0)
 
 
 @query("SELECT floor(r2 / 0.05)::INT AS bin, count(*) AS n, avg((lx = ly)::INT) AS same FROM (SELECT round(pow(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2), 9) AS r2, a.label AS lx, b.label AS ly FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) GROUP BY 1")
@@ -253,14 +243,14 @@ def grf05_symmetric_in_weight(t: Tables) -> DataFrame:
 
 @query()
 def nn12_neural_collapse(t: Tables) -> DataFrame:
-    units = t.embeddings.select("label", *(F.col("embedding")[k].cast("double").alias(f"u{k}") for k in range(4)))
-    return learning.neural_collapse(units, "label", [f"u{k}" for k in range(4)])
+    width = len(t.embeddings.select("embedding").first()[0])
+    units = t.embeddings.select("label", *(F.col("embedding")[k].cast("double").alias(f"u{k}") for k in range(width)))
+    return learning.neural_collapse(units, "label", [f"u{k}" for k in range(width)])
 
 
 @query()
 def nn09_weight_statistics(t: Tables) -> DataFrame:
-    x = np.array([r[0] for r in t.embeddings.orderBy("vec_id").limit(64).select("embedding").collect()])
-    return t.spark.createDataFrame([(k, float(v)) for k, v in learning.weight_statistics(x).items()], "statistic string, value double")
+    return t.spark.createDataFrame([(k, float(v)) for k, v in blocks.weight_statistics(t.embeddings, "vec_id", "embedding").items()], "statistic string, value double")
 
 
 @query("""WITH m AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1, 2), d AS (SELECT a.event_type AS arm, a.v - b.v AS x FROM m a JOIN m b ON a.user_id = b.user_id AND b.event_type = 'view' AND a.event_type <> 'view'),
@@ -320,8 +310,7 @@ def grf01_random_dag(t: Tables) -> DataFrame:
 
 @query()
 def red23_energy_ablation(t: Tables) -> DataFrame:
-    x = np.array([r[0] for r in t.embeddings.orderBy("vec_id").limit(150).select("embedding").collect()])
-    return t.spark.createDataFrame([(j, float(v)) for j, v in enumerate(learning.energy_ablation(x, 4.0))], "place int, rise double")
+    return blocks.energy_ablation(t.embeddings, "vec_id", "embedding", 4.0)
 
 
 @query()
