@@ -143,25 +143,35 @@ def mann_whitney(df: DataFrame, value: str, positive: Column) -> DataFrame:
     return sums.select("u", "n_pos", "n_neg", (2 * F.try_divide("u", product) - 1).alias("rank_biserial"), F.try_divide(gap - 0.5 * F.signum(gap), spread).alias("z"))
 
 
+#: Differences up to which the rank sum's distribution is enumerated: time grows with their cube, memory with their square.
+EXACT_DIFFERENCES = 2000
+
+
 @F.pandas_udf(DoubleType())
 def wilcoxon_exact(differences: pd.Series) -> pd.Series:
-    """Two-sided signed-rank p-value of arrays of paired differences, by the exact distribution of the (mid-)rank sum."""
+    """Two-sided signed-rank p-value of arrays of paired differences, by the exact distribution of the (mid-)rank sum.
+
+    All differences count; above EXACT_DIFFERENCES the sum's normal approximation with its variance under ties takes the place of the enumeration.
+    """
 
     def p(d):
         d = np.array([x for x in d if x], float)
         if not len(d):
             return 1.0
-        size = np.abs(d)
-        ranks = np.array([(size < x).sum() + ((size == x).sum() + 1) / 2 for x in size]) * 2
-        ways = {0: 1}
-        for r in ranks.astype(int):
-            grown = dict(ways)
-            for s, n in ways.items():
-                grown[s + r] = grown.get(s + r, 0) + n
-            ways = grown
+        _, place, count = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+        ranks = (2 * np.cumsum(count) - count + 1)[place]
+        if len(ranks) > EXACT_DIFFERENCES:
+            off = abs(ranks[d > 0].sum() - ranks.sum() / 2) - np.gcd.reduce(ranks) / 2
+            return math.erfc(max(off, 0.0) / math.sqrt((ranks.astype(float) ** 2).sum() / 4) / math.sqrt(2))
+        # Chances of the rank sums, halved at each difference; those under 1e-308 become 0.
+        ways, far = np.zeros(int(ranks.sum()) + 1), 0
+        ways[0] = 1
+        for r in np.sort(ranks):
+            ways[r : far + r + 1] += ways[: far + 1].copy()
+            far += r
+            ways[: far + 1] /= 2
         w = ranks[d > 0].sum()
-        low, high = (sum(n for s, n in ways.items() if s <= w), sum(n for s, n in ways.items() if s >= w))
-        return min(1.0, 2 * min(low, high) / 2 ** len(d))
+        return float(min(1.0, 2 * min(ways[: w + 1].sum(), ways[w:].sum())))
 
     return pd.Series([p(d) for d in differences])
 
@@ -171,6 +181,36 @@ def cohort_splits(members: list, size: int) -> list[tuple[int, list]]:
     return [(i, list(c)) for i, c in enumerate(combinations(members, size))]
 
 
+def cohort_p(spark, sums: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """For each cell the exact p-value of the gap in means between the first `size` members and the others, against the largest gap over
+    cells of every choice of `size` members; sums and counts are members by cells. Choices are bit masks, dealt over tasks.
+    """
+    members = len(sums)
+
+    def gaps(chosen: np.ndarray) -> np.ndarray:
+        s, n = chosen @ sums, chosen @ counts
+        rest = counts.sum(0) - n
+        good = (n > 0) & (rest > 0)
+        return np.where(good, np.abs(s / np.where(good, n, 1) - (sums.sum(0) - s) / np.where(good, rest, 1)), np.nan)
+
+    seen = gaps((np.arange(members) < size).astype(float)[None])[0]
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                gap = gaps((f["id"].to_numpy()[:, None] >> np.arange(members) & 1).astype(float))
+                largest = np.where(np.isnan(gap), -np.inf, gap).max(axis=1)
+                largest = largest[np.isfinite(largest)]
+                yield pd.DataFrame({"cell": np.arange(len(seen)), "hits": (largest[:, None] >= seen[None] - 1e-12).sum(0), "n": len(largest)})
+
+    masks = spark.range(1 << members).where(F.bit_count("id") == size)
+    out = masks.mapInPandas(run, "cell int, hits long, n long").groupBy("cell").agg((F.sum("hits") / F.sum("n")).alias("p")).collect()
+    p = np.full(len(seen), np.nan)
+    for r in out:
+        p[r["cell"]] = r["p"] if np.isfinite(seen[r["cell"]]) else np.nan
+    return p
+
+
 def hsic(x: np.ndarray, y: np.ndarray) -> float:
     """Dependence of two samples: centred Gaussian kernels at the median positive squared distance, over (n-1)^2."""
 
