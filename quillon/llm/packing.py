@@ -27,16 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .runtime import stored, text_chunks
+from .runtime import kept, stored, text_chunks
 
 #: Ids that a worker keeps for pre-tokens already merged.
 POOL = 8 << 20
 
 
 class Encoder:
-    """Ids by one byte-level vocabulary file; kept for the life of a Python worker."""
-
-    _made: dict[str, "Encoder"] = {}
+    """Ids by one byte-level vocabulary file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,12 +47,6 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 20, np.int64), 0
         self.vocabulary = {p: i for p, i in self.library.get_vocab(with_added_tokens=False).items()}
 
-    @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
     def _learn(self, texts: list[str]) -> np.ndarray:
         """Places of the texts' ids in the pool, as start * 2**24 + length."""
         place = np.empty(len(texts), np.int64)
@@ -97,7 +89,7 @@ def encoded(documents: DataFrame, vocabulary: str, size: int, closing: int, key:
     """key, tokens (with the closing id) and the CRC-32 of each piece's little-endian 32-bit ids; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary)
+        encoder = kept(("ids", vocabulary), lambda: Encoder(vocabulary))
         for batch in batches:
             tokens, sums = [], []
             for _, data, offsets in text_chunks(batch.column(1)):

@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .runtime import text_chunks
+from .runtime import kept, text_chunks
 
 
 class Counter:
-    """Counts by one vocabulary file; kept for the life of a Python worker."""
-
-    _made: dict[str, "Counter"] = {}
+    """Counts by one vocabulary file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,12 +36,6 @@ class Counter:
         self.whole = self.proven_whole()
         self.known = pretokens.Memory()
 
-    @classmethod
-    def of(cls, path: str) -> "Counter":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
-
     def proven_whole(self) -> dict[int, int]:
         """Hashes of the pre-tokens that the library encodes as exactly one token."""
         texts = []
@@ -91,7 +83,7 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 2048, key:
     """key, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter.of(vocabulary)
+        counter = kept(("counts", vocabulary), lambda: Counter(vocabulary))
         for batch in batches:
             column = batch.column(1)
             size, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
