@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 
 from quillon.llm.contamination import find_contamination
 from quillon.llm.jaccard import jaccard_components
-from quillon.llm.language import predict_language
+from quillon.llm.language import with_language
 from quillon.llm.lines import dedup_lines
 from quillon.llm.packing import pack
-from quillon.llm.runtime import bounded, stored
+from quillon.llm.runtime import bounded, free_name, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if it has no letter, or if no language gets this much of its positions' probability.
-LEAST_SCORE = 0.3
+#: A document is rejected if it has no letter, or if no language gets this much of its letters' probability.
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the recurrent network recognises; the rest go."""
-    told = predict_language(docs, carry=tuple(COLUMNS))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+    told = free_name("told", docs)
+    known = (F.col(f"{told}.lang_pred") != "und") & (F.col(f"{told}.score") >= LEAST_SCORE)
+    return with_language(docs, told).where(known).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
