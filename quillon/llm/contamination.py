@@ -64,7 +64,7 @@ class Items:
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, item, shingles shared) of a run of texts."""
         starts, ends, word_rows = hashing.words(data, offsets)
-        hashes, rows = hashing.shingle_hashes(hashing.Prefix(hashing.LOWER[data]).spans(starts, ends), word_rows, self.size)
+        hashes, rows = hashing.shingle_hashes(hashing.span_hashes(hashing.LOWER[data], starts, ends), word_rows, self.size)
         near = np.flatnonzero(self.bits[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
         near = near[np.isin(hashes[near], self.signature)]
         for r in np.unique(np.searchsorted(rows, near, "right") - 1):

@@ -1,8 +1,8 @@
 """Vectorised word and substring hashes over UTF-8 bytes.
 
-A span's hash is a polynomial of table values of its bytes modulo 2**64 with an odd base, so that
-prefix sums give any substring's hash in constant time; a final mix spreads the bits. The constants
-are drawn once from a seeded generator, so every executor has the same ones.
+A span's hash sums a nonlinear mix of each of its eight-byte blocks and the block's place, so no text is built that meets another by algebra;
+a chance collision of two of n spans has odds of n * n / 2**65. Substring hashes of `_tables` powers (lines.py) only route candidates.
+The constants are drawn once from a seeded generator, so every executor has the same ones.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import numpy as np
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1, 1 << 62)) * 2 + 1
 _POS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,17 +40,25 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-class Prefix:
-    """Prefix sums of a byte buffer; spans() hashes many substrings at once."""
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    def __init__(self, data: np.ndarray):
-        powers, self.inverse = _tables(len(data) + 1)
-        self.sums = np.empty(len(data) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(_BYTE[data] * powers[: len(data)], out=self.sums[1:])
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of each span of a byte buffer."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes, seed = ends - starts, U(seed)
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix((eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]) + seed)
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) // 8
+        first = np.cumsum(more) - more
+        place = np.arange(more.sum()) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * place
+        block = eight[at] & _FIRST_BYTES[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        out[long] += np.add.reduceat(mix(block + seed + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)), first)
+    return mix(out + sizes.astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +83,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the end); A-Z are lower-cased if asked for."""
     starts, ends, rows = words(data, offsets)
-    return Prefix(LOWER[data] if lower else data).spans(starts, ends), rows
+    return span_hashes(LOWER[data] if lower else data, starts, ends), rows
 
 
 def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

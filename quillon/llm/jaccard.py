@@ -9,7 +9,8 @@ further checks, and linking each to the smallest set of the subset keeps their c
 Heavy sets are joined by inverted lists over each set's rarest shingles, as many as it may miss plus one (any linked
 pair meets in one of these lists; frequencies come from a count sketch of fixed size over all documents, which only sets
 the order). All pairs of a short list are candidates; in a longer one each set first meets a few neighbours in two orders and the
-smallest set. Candidates of fitting size and near parity bitmaps are compared, links found are contracted to components, and then
+smallest set. Candidates of fitting size and near parity bitmaps (a short one first, then one as long as the set) are compared: in each round
+a set travels to one partner alone, links found are contracted to components, and pairs inside a component need no comparison. Then
 every such pair of a long list whose sets are still of different components is compared, so no link between components is lost and
 tight groups never form all pairs. Lists of very frequent shingles
 are dealt over several buckets by a salt and meet again in the second step.
@@ -23,7 +24,7 @@ other columns are dropped; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -48,6 +49,8 @@ SHORT_LIST, MEETINGS = 8, 3
 LIST_COST = 16
 #: Ids up to which the fetch of texts broadcasts them (16 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1 << 21
+#: Partners that one copy of a set is compared with, and rounds in which each set is compared with one partner.
+HUB, ROUNDS = 64, 2
 _LIGHT, _HOT = 1 << 62, 1 << 61
 _LINK, _CANDIDATE, _REST = 0, 1, 2
 #: Words of a set's parity bitmap. Its bits flip with each shingle, so two sets' bitmaps differ in no more bits than the sets in shingles.
@@ -240,19 +243,53 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _fetched(rows: DataFrame, distinct: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, its set's hashes) for each id, from the one text that stands for the set."""
-    texts = stored(distinct.join(ids, "id", "left_semi").select("at.*").toDF("_key", "_hash"), "texts")
+def parities(own: np.ndarray) -> np.ndarray:
+    """bitmap() with a bit or more for each shingle, so that it tells apart sets of any size; the first halves and second halves of it, flipped
+    together, are the one of half the length."""
+    bits = max(64 * BITMAP_WORDS, 1 << max(0, len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the shingles that are in one of two sets alone, from their parities()."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _read(rows: DataFrame, distinct: DataFrame, asked: DataFrame, size: int, shown: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """asked (id, further longs) with n and what is shown of each id's set, from the one text that stands for the set."""
+    names = [c for c in asked.columns if c != "id"]
+    texts = stored(asked.join(distinct.select("id", "n", "at"), "id").select("id", *names, "n", F.col("at.key").alias("_key"), F.col("at.text_hash").alias("_hash")), "texts")
     wanted = F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets = []
             for _, data, offsets in text_chunks(batch.column(0)):
-                own = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([_signed(np.array([set_id(s) for s in own], np.uint64)), pa.array([s.tobytes() for s in own], pa.binary())], ["id", "hashes"])
+                sets += [shown(s) for s in shingle_sets(data, offsets, size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], ["id", *names, "n", "set"])
 
-    chosen = rows.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-    return stored(chosen.select("text").mapInArrow(run, "id long, hashes binary"), "sets")
+    chosen = rows.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key"))).select("text", "id", *names, "n")
+    return chosen.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *names, "n")) + ", set binary")
+
+
+def _probable(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities don't rule a link out."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    maps = stored(_read(rows, distinct, ids, size, lambda own: parities(own).tobytes()), "parities").dropDuplicates(["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = n + m - 2 * -(-percent * (n + m) // (100 + percent))
+            keep = [apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= k for x, y, k in zip(batch.column(4), batch.column(5), most)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b")
+    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _words(prefix: str = "b") -> list[str]:
@@ -273,21 +310,44 @@ def _filtered(pairs: DataFrame, distinct: DataFrame, percent: int, boundary: int
     return pairs.join(left, "a").join(right, "b").where(_near(percent, boundary)).select("a", "b")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+def _compared(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. A set travels once for each of its partners a; a's own set once for `HUB` of its partners."""
+    hubs = pairs.groupBy("a").agg(F.expr(f"count(*) div {HUB} + 1").alias("parts"))
+    partners = pairs.join(hubs, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    own = hubs.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        hub = frame["hub"].iloc[0]
+        sets = {i: np.frombuffer(s, np.uint64) for i, s in zip(frame["id"], frame["set"])}
+        x, found = sets.pop(hub), []
+        for i, y in sets.items():
+            both = np.sort(np.concatenate([x, y]))
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= percent * (len(both) - common):
+                found.append(i)
+        return pd.DataFrame({"a": np.full(len(found), hub, np.int64), "b": np.array(found, np.int64)})
+
+    sets = _read(rows, distinct, partners.unionByName(own), size, np.ndarray.tobytes)
+    return sets.groupBy("hub", "part").applyInPandas(run, "a long, b long")
+
+
+def _joined(links: DataFrame, reached: DataFrame | None, pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components (node, component) of links and of those pairs that link. Each set is first compared with one partner, and pairs of sets that
+    are of one component by then are not compared; after `ROUNDS` of this all that are left are."""
+    if reached is not None:
+        links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    for k in range(ROUNDS + 1):
+        if not pairs.isEmpty():
+            chosen = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if k < ROUNDS else pairs, "chosen")
+            links = stored(links.unionByName(_compared(chosen, rows, distinct, size, percent)), "links")
+            pairs = pairs.join(chosen, ["a", "b"], "left_anti")
+        elif k:
+            break
+        reached = stored(components(links), "reached")
+        left, right = reached.toDF("a", "ca"), reached.toDF("b", "cb")
+        apart_ = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        pairs = stored(apart_.select("a", "b"), "pairs")
+    return reached
 
 
 def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", list_cost: int = LIST_COST) -> DataFrame:
@@ -306,25 +366,20 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, k
 
     entries = _entries(rows, size, percent, boundary, buckets, _sketch(both.where("kind = 1")))
     met = stored(_met(entries, percent, boundary), "met")
-    links = met.where(F.col("kind") == _LINK).select("a", "b").distinct()
+    links = stored(met.where(F.col("kind") == _LINK).select("a", "b").distinct(), "links")
     pairs = met.where(F.col("kind") == _CANDIDATE).select("a", "b").distinct()
     rest = met.where(F.col("kind") == _REST).select("key", F.col("a").alias("id"), "n")
-
-    def linked(candidates: DataFrame, name: str) -> DataFrame:
-        near = stored(candidates, name)
-        return _compared(near, _fetched(rows, distinct, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), size), percent)
-
-    links = stored(links.unionByName(linked(_filtered(pairs, distinct, percent, boundary), "near")), "links")
-    reached = stored(components(links), "reached")
+    near = stored(_filtered(pairs, distinct, percent, boundary), "near")
+    reached = _joined(links, None, stored(_probable(near, rows, distinct, size, percent), "probable"), rows, distinct, size, percent)
 
     rest = stored(rest.join(reached, rest["id"] == reached["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")), "rest")
     split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     rest = rest.join(split, "key", "left_semi").join(distinct.drop("at"), "id").select("key", "id", "c", "n", *_words())
     x, y = rest.toDF("key", "a", "ca", "nx", *_words("x")), rest.toDF("key", "b", "cb", "ny", *_words("y"))
     others = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(percent, boundary)).select("a", "b").distinct()
-    more = stored(linked(others, "others"), "more-links")
-    if not more.isEmpty():
-        reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    others = stored(_probable(stored(others, "others"), rows, distinct, size, percent), "probable")
+    if not others.isEmpty():
+        reached = _joined(links.limit(0), reached, others, rows, distinct, size, percent)
 
     named = sets.select("key", "n", "set_id").join(reached.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     least = named.where("n > 0").groupBy("c").agg(F.min("key").alias("least"))

@@ -66,7 +66,7 @@ class Encoder:
             self.used = 0
         text = pretokens.Codes(data, offsets)
         starts, ends = pretokens.split_bytes(text.codes, text.rows)
-        hashes = pretokens.CodeHashes(text.codes).spans(starts, ends)
+        hashes = pretokens.code_hashes(text.codes, starts, ends)
         place, missing = self.memory.find(hashes)
         if len(missing):
             new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)

@@ -120,19 +120,9 @@ def split_words(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin[order], end[order]
 
 
-_VALUE = hashing.mix(np.arange(1, 0x2101, dtype=np.uint64))
-
-
-class CodeHashes:
-    """Hashes of spans of code points."""
-
-    def __init__(self, codes: np.ndarray):
-        powers, self.inverse = hashing._tables(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(_VALUE[codes] * powers[: len(codes)], out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return hashing.mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U))
+def code_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of code points, all of which are in CLASS."""
+    return hashing.span_hashes(codes.astype("<u2").view(np.uint8), 2 * starts, 2 * ends)
 
 
 def string(codes: np.ndarray) -> str:

@@ -49,7 +49,7 @@ class Counter:
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         starts, ends = pretokens.split_words(codes, rows)
         one = np.isin(rows[:-1], starts[np.isin(starts, rows[:-1]) & (ends == rows[np.searchsorted(rows, starts, "right")])])
-        hashes = pretokens.CodeHashes(codes).spans(rows[:-1], rows[1:])
+        hashes = pretokens.code_hashes(codes, rows[:-1], rows[1:])
         encoded = self.library.encode_batch(texts, add_special_tokens=False)
         return {int(h): 1 for h, alone, e in zip(hashes, one, encoded) if alone and len(e) == 1}
 
@@ -58,7 +58,7 @@ class Counter:
         text = pretokens.Codes(data, offsets)
         codes = pretokens.LOWER_CODE[text.codes]
         starts, ends = pretokens.split_words(codes, text.rows)
-        hashes = pretokens.CodeHashes(codes).spans(starts, ends)
+        hashes = pretokens.code_hashes(codes, starts, ends)
         found, missing = self.known.find(hashes)
         if len(missing):
             new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)

@@ -59,6 +59,7 @@ def test_equals_brute_force(spark, seed, size, percent, cost, monkeypatch):
     if seed in (1, 2):
         monkeypatch.setattr(J, "SHORT_LIST", 2)
         monkeypatch.setattr(J, "MEETINGS", 1)
+        monkeypatch.setattr(J, "HUB", 2)
     rows = corpus(seed)
     out = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, n long"), size, percent, list_cost=cost).collect()
     want = brute(rows, size, percent)
@@ -75,3 +76,23 @@ def test_overlap_is_the_threshold():
         for m in range(n, 60):
             c = J.overlap(n, m, 85)
             assert 100 * c >= 85 * (n + m - c) and not 100 * (c - 1) >= 85 * (n + m - c + 1)
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, m in ((5, 9), (700, 600), (5000, 4000), (3000, 2900)):
+        pool = np.unique(rng.integers(0, 1 << 62, 9000, dtype=np.uint64))
+        x, y = np.sort(rng.choice(pool, n, False)), np.sort(rng.choice(pool, m, False))
+        differ = len(np.setxor1d(x, y))
+        assert differ * 0.1 < J.apart(J.parities(x), J.parities(y)) <= differ and J.apart(J.parities(x), J.parities(x)) == 0
+
+
+def test_words_that_a_polynomial_hash_mixes_up(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    out = J.jaccard_components(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 2), (3, 1)]
