@@ -13,6 +13,8 @@ repeated rows are scanned each; other columns are dropped; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,29 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 _FIRST, _WIDTH = 32, 95
 
 
+_NONE = "CAST(array() AS array<struct<s: bigint, k: int, e: bigint, v: string>>)"
+_BLOCK = 256
+
+
+def folded(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], last: Callable[[Column], Column]) -> Column:
+    """The spans that step(state, item) -> (state, spans) and last(state) give over an array. Arrays grow by blocks of items, so that time is linear in them."""
+    none = F.expr(_NONE)
+    def one(acc: Column, x: Column) -> Column:
+        state, found = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], found).alias("out"))
+
+    def many(acc: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("out")), one, lambda a: F.struct(a["state"].alias("state"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    def all_of(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK)))
+        out = F.aggregate(blocks, F.struct(start.alias("state"), F.array(none).alias("out")), many, lambda acc: F.concat(F.flatten(acc["out"]), last(acc["state"])))
+        return F.when(F.size(x) > 0, out).otherwise(none)
+
+    # As an element, so that the lambda has the array's value and the expression isn't run for each block.
+    return F.element_at(F.transform(F.array(items), all_of), 1)
+
+
 def spans(text: Column, pattern: str, kind: str, value_length: int = 0) -> Column:
     """Leftmost non-overlapping matches as an array of (start, kind's place, end, matched text).
 
@@ -33,19 +58,33 @@ def spans(text: Column, pattern: str, kind: str, value_length: int = 0) -> Colum
     """
     match, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
     sizes = F.zip_with(match, F.slice(between, 1, F.size(match)), lambda m, b: F.struct(F.length(b).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value")))
-    none = F.expr("CAST(array() AS array<struct<s: bigint, k: int, e: bigint, v: string>>)")
+    none = F.expr(_NONE)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         found = F.struct(start.alias("s"), F.lit(KINDS.index(kind)).alias("k"), (start + x["size"]).alias("e"), x["value"].alias("v"))
-        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+        return start + x["size"], F.array(found)
 
-    out = F.aggregate(sizes, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    out = folded(sizes, F.lit(0).cast("long"), step, lambda at: none)
     if value_length:
         out = F.filter(out, lambda x: F.length(F.regexp_extract(x["v"], pattern, 2)) >= value_length)
     return F.when(F.regexp_like(text, F.lit(pattern)), out).otherwise(none)
 
 
+def free(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span: one pass over both by start."""
+    none, nothing = F.expr(_NONE), F.expr("CAST(NULL AS struct<s: bigint, k: int, e: bigint, v: string>)")
+    kept = lambda held: F.when(held.isNotNull(), F.array(held)).otherwise(none)
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        held, until, token = state["held"], state["until"], x["k"] == KINDS.index("markov")
+        next_held = F.when(token, F.when(until <= x["s"], x).otherwise(nothing)).otherwise(F.when(held["e"] > x["s"], nothing).otherwise(held))
+        return F.struct(F.when(token, until).otherwise(F.greatest(until, x["e"])).alias("until"), next_held.alias("held")), F.when(token, kept(held)).otherwise(none)
+
+    both = F.array_sort(F.concat(base, tokens))
+    return folded(both, F.struct(F.lit(0).cast("long").alias("until"), nothing.alias("held")), step, lambda state: kept(state["held"]))
+
+
 def base_spans(text: Column) -> Column:
     return F.concat(spans(text, ASSIGN, "assign", 6), spans(text, ACCESS, "access"), spans(text, HEX, "hex"))
 
@@ -111,10 +150,10 @@ def scan_secrets(documents: DataFrame, random: DataFrame | None = None, ordinary
     rows = rows.withColumn("model", train(random, ordinary).scalar())
 
     def secret(x: Column) -> Column:
-        free = ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        return free & (log_ratio(x["v"], F.col("model")) > F.greatest(F.lit(least), per_char * F.length(x["v"])))
+        return log_ratio(x["v"], F.col("model")) > F.greatest(F.lit(least), per_char * F.length(x["v"]))
 
-    rows = rows.withColumn("more", F.when(F.size("tokens") > 0, F.filter("tokens", secret)).otherwise(F.col("tokens")))
+    alone = F.when(F.size("base") > 0, free(F.col("tokens"), F.col("base"))).otherwise(F.col("tokens"))
+    rows = rows.withColumn("more", F.when(F.size("tokens") > 0, F.filter(alone, secret)).otherwise(F.col("tokens")))
     number = lambda k: F.size(F.filter("base", lambda x: x["k"] == KINDS.index(k))).cast("long")
     return rows.select(
         F.col("key").alias(key),

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from quillon.llm import secrets as S
 
@@ -56,5 +57,12 @@ def test_random_strings_are_found_and_identifiers_left(spark):
     assert sum(out[i] for i in range(50)) >= 48 and sum(out[100 + i] for i in range(50)) == 0
 
 
+def test_many_matches_take_linear_time(spark):
+    text = " ".join(f"{hashlib.sha1(str(i).encode()).hexdigest()}" if i % 2 else "token=" + "k" * 9 for i in range(40_000))
+    began = time.time()
+    out = S.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (out.n_hex, out.n_assign) == (20_000, 20_000) and out.spans.count(",") == 39_999 and time.time() - began < 60
+
+
 def test_empty_table(spark):
     assert S.scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
