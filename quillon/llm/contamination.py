@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .runtime import text_chunks
+from .runtime import released, text_chunks
 
 BLOCK_BYTES = 8 << 20
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -99,6 +99,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, size: int = 5
         shared = spark.sparkContext.broadcast(Items([(r["item"], bytes(r["text"])) for r in collected], size, percent))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            released()
             items = shared.value
             for batch in batches:
                 out = []

@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from . import hashing, routed
 from .graph import components
-from .runtime import stored, text_chunks
+from .runtime import released, stored, text_chunks
 
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+SKETCH_BITS, SKETCH_PARTS = routed.SKETCH_BITS, routed.SKETCH_PARTS
 #: Sets of a list that one bucket takes before the list is dealt over more.
 HOT_LIST = 1 << 18
 #: Sets of a list up to which all its pairs are candidates at once, and neighbours that each set of a longer list meets at first in
@@ -115,6 +115,7 @@ def _sets_and_sketch(rows: DataFrame, size: int) -> DataFrame:
     """kind 0: key, text_hash, n, set_id and bitmap words of each row; kind 1: a task's counts of shingle hashes, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         mask = np.uint64((1 << SKETCH_BITS) - 1)
         names = ["kind", "key", "text_hash", "n", "set_id", "counts", *_words()]
@@ -135,21 +136,6 @@ def _sets_and_sketch(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(["kind int, key long, text_hash long, n long, set_id long, counts binary", *(f"{w} long" for w in _words())]))
 
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """The summed sketch, of fixed size, on the driver."""
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
-        for b in frame["counts"]:
-            total += np.frombuffer(b, "<i4")
-        return pd.DataFrame({"n": [frame["n"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
-
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int32)
-    for r in parts.select("n", "counts").groupBy("n").applyInPandas(add, "n long, counts binary").collect():
-        out[r["n"]] = np.frombuffer(r["counts"], "<i4")
-    return out.ravel()
-
-
 def subset_keys(own: np.ndarray, boundary: int, percent: int) -> Iterator[tuple[np.ndarray, int]]:
     """(hashes of the subsets of size c, c) for each c asked of a light set."""
     mixed = hashing.mix(own)
@@ -163,6 +149,7 @@ def _entries(rows: DataFrame, size: int, percent: int, boundary: int, buckets: i
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         counts, mask = shared.value, np.uint64((1 << SKETCH_BITS) - 1)
         shipper, seen = routed.Shipper(buckets), set()
         for batch in batches:
@@ -266,6 +253,7 @@ def _read(rows: DataFrame, distinct: DataFrame, asked: DataFrame, size: int, sho
     wanted = F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             sets = []
             for _, data, offsets in text_chunks(batch.column(0)):
@@ -364,7 +352,7 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, k
     light = sum(c * sum(comb(n, s) for s in subset_sizes(n, boundary, percent)) for n, c in histogram.items() if n <= boundary)
     buckets = max(16, int((volume * (100 - percent) // 100 + light) // routed.PER_BUCKET))
 
-    entries = _entries(rows, size, percent, boundary, buckets, _sketch(both.where("kind = 1")))
+    entries = _entries(rows, size, percent, boundary, buckets, routed.summed(both.where("kind = 1").select(F.col("n").cast("int").alias("part"), "counts")))
     met = stored(_met(entries, percent, boundary), "met")
     links = stored(met.where(F.col("kind") == _LINK).select("a", "b").distinct(), "links")
     pairs = met.where(F.col("kind") == _CANDIDATE).select("a", "b").distinct()

@@ -8,7 +8,8 @@ lines form classes (components); of a class the first occurrence by (document id
 
 In an index list with many meetings each line is first compared with its neighbours and the list's first line; links are contracted, and
 the pairs of the list that are still of different classes are compared after that, in blocks, so no link is lost and tight groups
-never form all pairs. Exact copies are one line from the start. A line's identity is a 64-bit hash.
+never form all pairs. Lists that a count sketch finds longer than `HOT_LIST` are dealt over several buckets by a salt and meet in that last
+step. Exact copies are one line from the start: lines are joined by a 64-bit hash, and of one class by that and another 64 bits.
 
 Defined results: null or empty text has no line to drop; shorter lines stay, whatever their copies; repeated rows with the same id and text
 are one document and keep the same lines; a null id counts as the smallest; documents left without any text stay as rows here;
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from . import hashing, routed
 from .graph import components
 from .hashing import U
-from .runtime import stored, text_chunks
+from .runtime import free_name, released, stored, text_chunks
 
 #: Meetings of one list up to which all its pairs are compared at once, and lines of a block beyond it.
 LIST_PAIRS, BLOCK = 4096, 1024
+#: Index entries of a list that one bucket takes before the list is dealt over more.
+HOT_LIST = 1 << 18
 BROADCAST_IDS = 1 << 21
 _CLASSES = 15
-_PROBE = U(1) << U(63)
+_PROBE, _HOT = U(1) << U(63), U(1) << U(62)
 
 
 class Lines:
@@ -42,8 +45,9 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, least: int):
         self.codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        head = (data & 0xC0) != 0x80
         heads = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
+        np.cumsum(head, out=heads[1:])
         rows = heads[offsets]
         feeds = np.flatnonzero(self.codes == 10)
         count = np.diff(np.searchsorted(feeds, rows, "left")) + 1
@@ -63,7 +67,8 @@ class Lines:
         self.values = values
         self.sums = np.zeros(len(self.codes) + 1, np.uint64)
         np.cumsum(values * powers[: len(self.codes)], out=self.sums[1:])
-        self.ids = self.spans(self.starts, self.ends)
+        at = np.append(np.flatnonzero(head), len(data))
+        self.ids, self.checks = (hashing.span_hashes(data, at[self.starts], at[self.ends], seed) for seed in (1, 2))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return hashing.mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
@@ -76,22 +81,23 @@ class Lines:
         counts = np.bincount(line * _CLASSES + (self.values[at] % U(_CLASSES)).astype(np.int64), minlength=len(which) * _CLASSES).reshape(-1, _CLASSES)
         return ((counts & 15).astype(np.uint64) << (U(4) * np.arange(_CLASSES, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
-    def keys(self, which: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def keys(self, which: np.ndarray, threshold: int, entries_alone: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(key, line, whether it probes) of the index entries and probes of some lines."""
         size, starts = (self.ends - self.starts)[which], self.starts[which]
         parts = threshold + 1
-        for shorter in range(threshold + 1):
+        for shorter in range(1 if entries_alone else threshold + 1):
             other = size - shorter
             for i in range(parts):
                 begin = i * (other // parts) + np.maximum(0, i - (parts - other % parts))
                 width = other // parts + (i >= parts - other % parts)
                 tag = hashing.mix(other.astype(np.uint64) * U(64) + U(i))
                 low, high = max(-i, shorter - (threshold - i)), min(i, shorter + (threshold - i))
-                for shift in range(low, high + 1):
+                for shift in (0,) if entries_alone else range(low, high + 1):
                     at = begin + shift
                     good = np.flatnonzero((at >= 0) & (at + width <= size) & (width > 0))
                     key = hashing.mix(self.spans(starts[good] + at[good], starts[good] + at[good] + width[good]) + tag[good])
-                    yield key, which[good], True
+                    if not entries_alone:
+                        yield key, which[good], True
                     if not shorter and not shift:
                         yield key, which[good], False
 
@@ -146,30 +152,59 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 def _occurrences(rows: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for first, data, offsets in text_chunks(batch.column(2)):
                 lines = Lines(data, offsets, least)
                 at = pa.array(first + lines.row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.place, pa.int64()), pa.array(lines.ids.view(np.int64))], ["key", "row", "place", "line"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.place, pa.int64()), pa.array(lines.ids.view(np.int64)), pa.array(lines.checks.view(np.int64))], ["key", "row", "place", "line", "check"])
 
-    return rows.mapInArrow(run, "key long, row long, place long, line long")
+    return rows.mapInArrow(run, "key long, row long, place long, line long, check long")
 
 
-def _entries(rows: DataFrame, least: int, threshold: int, buckets: int) -> DataFrame:
+def _distinct(rows: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[Lines, np.ndarray]]:
+    """(the lines of a run of texts, the places of those that this task hasn't had yet)."""
+    released()
+    seen = np.zeros(0, np.uint64)
+    for batch in rows:
+        for _, data, offsets in text_chunks(batch.column(2)):
+            lines = Lines(data, offsets, least)
+            ids, which = np.unique(lines.ids, return_index=True)
+            which = which[~np.isin(ids, seen)]
+            seen = np.union1d(seen, ids) if len(seen) < 1 << 20 else ids
+            yield lines, which
+
+
+def _key_counts(rows: DataFrame, least: int, threshold: int) -> np.ndarray:
+    """A count sketch of the index entries' keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shipper, seen = routed.Shipper(buckets), np.zeros(0, np.uint64)
-        for batch in batches:
-            for _, data, offsets in text_chunks(batch.column(2)):
-                lines = Lines(data, offsets, least)
-                ids, which = np.unique(lines.ids, return_index=True)
-                which = which[~np.isin(ids, seen)]
-                seen = np.union1d(seen, ids) if len(seen) < 1 << 20 else ids
-                signature = np.zeros(len(lines.ids), np.uint64)
-                signature[which] = lines.signatures(which)
-                for key, line, probes in lines.keys(which, threshold):
-                    shipper.add(key, lines.ids[line], signature[line] | (_PROBE if probes else U(0)))
-                if shipper.held >= routed.FLUSH:
-                    yield from shipper.rows()
+        counts = np.zeros(1 << routed.SKETCH_BITS, np.int64)
+        for lines, which in _distinct(batches, least):
+            for key, _, probes in lines.keys(which, threshold, entries_alone=True):
+                counts += np.bincount((key & U((1 << routed.SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << routed.SKETCH_BITS)
+        yield routed.sketch_rows(counts)
+
+    return routed.summed(rows.mapInArrow(run, routed.SKETCH_SCHEMA))
+
+
+def _entries(rows: DataFrame, least: int, threshold: int, buckets: int, counts: np.ndarray) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(counts) if (counts > HOT_LIST).any() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shipper = routed.Shipper(buckets)
+        for lines, which in _distinct(batches, least):
+            signature = np.zeros(len(lines.ids), np.uint64)
+            signature[which] = lines.signatures(which)
+            for key, line, probes in lines.keys(which, threshold):
+                aux, salt = signature[line] | (_PROBE if probes else U(0)), None
+                if shared:
+                    deals = U(1) + (shared.value[(key & U((1 << routed.SKETCH_BITS) - 1)).astype(np.int64)] // HOT_LIST).astype(np.uint64)
+                    aux |= np.where(deals > 1, _HOT, U(0))
+                    salt = lines.ids[line] % deals * U(0x9E3779B1)
+                shipper.add(key, lines.ids[line], aux, salt)
+            if shipper.held >= routed.FLUSH:
+                yield from shipper.rows()
         yield from shipper.rows()
 
     return rows.mapInArrow(run, routed.SCHEMA)
@@ -205,10 +240,10 @@ def _met(entries: DataFrame, threshold: int) -> DataFrame:
             a, b = e["id"][x[good]], e["id"][y[good]]
             out.append(pd.DataFrame({"a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64)}).drop_duplicates())
 
-        short = np.flatnonzero(probe & ((meet > 1) & (meet <= LIST_PAIRS))[run_of]) if len(e) else np.zeros(0, np.int64)
+        short = np.flatnonzero(probe & ((e["aux"] & _HOT) == 0) & ((meet > 1) & (meet <= LIST_PAIRS))[run_of]) if len(e) else np.zeros(0, np.int64)
         for x, y in _pairs(edges[run_of[short]], short, entered[run_of[short]]):
             keep(x, y)
-        large = np.flatnonzero((meet > LIST_PAIRS)[run_of]) if len(e) else short
+        large = np.flatnonzero((meet > LIST_PAIRS)[run_of] | ((e["aux"] & _HOT) > 0)) if len(e) else short
         later = large[large > edges[run_of[large]]]
         keep(later - 1, later)
         keep(edges[run_of[later]], later)
@@ -243,12 +278,12 @@ def _rest_pairs(rest: DataFrame, threshold: int) -> DataFrame:
 
 
 def _fetched(rows: DataFrame, occurrences: DataFrame, ids: DataFrame, least: int) -> DataFrame:
-    """(line, value) of the lines asked for."""
+    """(line, check, value) of the lines asked for."""
     ids = stored(ids, "line-ids")
-    places = stored(occurrences.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "line", "left_semi").groupBy("line").agg(F.min(F.struct("row", "place")).alias("at")).select("line", "at.row", "at.place"), "places")
-    documents = places.groupBy("row").agg(F.collect_list(F.struct("place", "line")).alias("wanted"))
+    places = stored(occurrences.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "line", "left_semi").groupBy("line").agg(F.min(F.struct("row", "place", "check")).alias("at")).select("line", "at.row", "at.place", "at.check"), "places")
+    documents = places.groupBy("row").agg(F.collect_list(F.struct("place", "line", "check")).alias("wanted"))
     joined = rows.select("row", "text").join(F.broadcast(documents) if places.count() <= BROADCAST_IDS // 4 else documents, "row")
-    values = joined.select(F.split("text", "\n", -1).alias("parts"), F.explode("wanted").alias("w")).select("w.line", F.expr("parts[int(w.place)]").alias("value"))
+    values = joined.select(F.split("text", "\n", -1).alias("parts"), F.explode("wanted").alias("w")).select("w.line", "w.check", F.expr("parts[int(w.place)]").alias("value"))
     return stored(values.dropDuplicates(["line"]), "lines")
 
 
@@ -258,7 +293,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
             keep = [edit_distance(x, y, threshold) <= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = lines.toDF("a", "x"), lines.toDF("b", "y")
+    x, y = lines.select("line", "value").toDF("a", "x"), lines.select("line", "value").toDF("b", "y")
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -271,7 +306,7 @@ def duplicate_lines(documents: DataFrame, threshold: int = 2, least: int = 20, k
     rows = _rows(documents, key, text)
     occurrences = stored(_occurrences(rows, least), "occurrences")
     buckets = max(16, int(occurrences.count() * (threshold + 1) * (threshold + 2) // routed.PER_BUCKET))
-    met = stored(_met(_entries(rows, least, threshold, buckets), threshold), "met")
+    met = stored(_met(_entries(rows, least, threshold, buckets, _key_counts(rows, least, threshold)), threshold), "met")
     pairs = stored(met.where("kind = 0").select("a", "b").distinct(), "pairs")
     rest = met.where("kind = 1").select("key", F.col("a").alias("line"), "aux")
     ids = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(rest.select("line")).distinct()
@@ -283,23 +318,27 @@ def duplicate_lines(documents: DataFrame, threshold: int = 2, least: int = 20, k
     if not more.isEmpty():
         reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    classed = occurrences.join(reached.withColumnRenamed("node", "line"), "line", "left").select("key", "row", "place", F.coalesce("component", "line").alias("class"))
-    first = classed.groupBy("class").agg(F.min(F.struct("key", "row", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", "first")
-    dropped = classed.join(first, "class").where(~F.struct("key", "row", "place").eqNullSafe(F.col("first")))
+    named = lines.select("line", "check").join(reached.withColumnRenamed("node", "line"), "line")
+    classed = occurrences.join(named, ["line", "check"], "left")
+    # The first occurrence of a class, and of a line in no class; joined by place, not by class, so that no class is one task's.
+    own = F.when(F.col("component").isNull(), F.struct("line", "check")).otherwise(F.struct(F.col("component").alias("line"), F.lit(0).cast("long").alias("check")))
+    first = classed.groupBy(F.col("component").isNull().alias("alone"), own.alias("own")).agg(F.min(F.struct("key", "row", "place")).alias("first")).select("first.row", "first.place")
+    dropped = occurrences.select("row", "place").join(first, ["row", "place"], "left_anti")
     return dropped.groupBy("row").agg(F.sort_array(F.collect_set("place")).alias("dropped"))
 
 
 def dedup_lines(documents: DataFrame, threshold: int = 2, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """documents with repeated lines cut from the text, and n_lines, n_dropped and dropped (places) of each row."""
-    dropped = duplicate_lines(documents, threshold, least, key, text).withColumnRenamed("row", "_row").withColumnRenamed("dropped", "_dropped")
-    joined = documents.withColumn("_row", F.xxhash64(F.col(key).cast("long"), text)).join(dropped, "_row", "left").drop("_row")
+    row, dropped = free_name("row", documents), free_name("dropped", documents)
+    gone = duplicate_lines(documents, threshold, least, key, text).toDF(row, dropped)
+    joined = documents.withColumn(row, F.xxhash64(F.col(key).cast("long"), text)).join(gone, row, "left").drop(row)
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains("_dropped", s["i"]))["x"], "\n")
+    kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))), lambda s: ~F.array_contains(dropped, s["i"]))["x"], "\n")
     return joined.select(
-        *(F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in documents.columns if c not in ("n_lines", "n_dropped", "dropped")),
+        *(F.when(F.col(dropped).isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in documents.columns if c.lower() not in ("n_lines", "n_dropped", "dropped")),
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce("_dropped", F.expr("CAST(array() AS array<bigint>)")).alias("dropped"),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(dropped, F.expr("CAST(array() AS array<bigint>)")).alias("dropped"),
     )
 
 

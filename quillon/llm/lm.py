@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import hashing, routed
 from .language import held_out
-from .runtime import stored, text_chunks
+from .runtime import released, stored, text_chunks
 
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Tokens of a run.
@@ -59,6 +59,7 @@ def _flat(data: bytes) -> np.ndarray:
 
 def _runs(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         keys, held, sizes, parts = [], [], [], []
 
         def shipped() -> pa.RecordBatch:

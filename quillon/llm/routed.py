@@ -10,12 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 ENTRY = np.dtype([("key", "<u8"), ("id", "<u8"), ("aux", "<u8")])
 #: Entries that a mapper holds before it ships them, and that a bucket should have.
 FLUSH, PER_BUCKET = 1 << 19, 1 << 19
 SCHEMA = "bucket long, entries binary"
+#: A count sketch's counters (a power of two), and the parts that it travels in.
+SKETCH_BITS, SKETCH_PARTS = 20, 64
+SKETCH_SCHEMA = "part int, counts binary"
 
 
 class Shipper:
@@ -50,3 +55,24 @@ def unpacked(blobs) -> tuple[np.ndarray, np.ndarray]:
         entries = entries[np.concatenate([[True], entries[1:] != entries[:-1]])]
     change = np.flatnonzero(entries["key"][1:] != entries["key"][:-1]) + 1 if len(entries) else np.zeros(0, np.int64)
     return entries, np.concatenate([[0], change, [len(entries)]]) if len(entries) else np.zeros(1, np.int64)
+
+
+def sketch_rows(counts: np.ndarray) -> pa.RecordBatch:
+    """A task's count sketch in parts."""
+    parts = np.minimum(counts, 2**31 - 1).astype("<i4").reshape(SKETCH_PARTS, -1)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+
+
+def summed(sketches: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches, of fixed size, on the driver. Counters are shared by hash, so a count may be too large, never too small."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
+        for b in frame["counts"]:
+            total += np.frombuffer(b, "<i4")
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+
+    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int32)
+    for r in sketches.groupBy("part").applyInPandas(add, SKETCH_SCHEMA).collect():
+        out[r["part"]] = np.frombuffer(r["counts"], "<i4")
+    return out.ravel()

@@ -80,6 +80,8 @@ def brute(rows, threshold, least):
 def test_dropped_lines_equal_brute_force(spark, seed, threshold, pairs, monkeypatch):
     monkeypatch.setattr(L, "LIST_PAIRS", pairs)
     monkeypatch.setattr(L, "BLOCK", 16)
+    if seed == 2:
+        monkeypatch.setattr(L, "HOT_LIST", 4)
     rows = corpus(seed)
     frame = spark.createDataFrame(rows, "doc_id long, text string, dropped string")
     out = L.dedup_lines(frame, threshold).collect()
@@ -116,3 +118,15 @@ def test_dropped_lines_equal_brute_force(spark, seed, threshold, pairs, monkeypa
 
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names_and_lines_that_a_polynomial_hash_mixes_up(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    names = ["_row", "_dropped", "row", "DROPPED", "place", "check", "line", "key"]
+    rows = [(1, a + "\nx", *names), (2, b, *names), (3, a, *names)]
+    out = L.dedup_lines(spark.createDataFrame(rows, ["doc_id", "text", *names])).collect()
+    assert {r.doc_id: r.text for r in out} == {1: a + "\nx", 2: b, 3: ""}
+    assert {(r._row, r.row, r.key) for r in out} == {("_row", "row", "key")} and {tuple(r.dropped) for r in out} == {(), (0,)}
