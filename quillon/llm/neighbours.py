@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy graph search.
 
-Equal vectors are one node (a class with its smallest row ids). Nodes are dealt over shards of about `shard_nodes` by hash,
-so every table's groups have a bounded size. In each shard a first graph comes from exact neighbours inside small cells of random
+Vectors of one direction (equal but for a positive factor, to ten decimals of the unit vector) are one node: a class with its smallest row ids. Nodes
+are dealt over shards of about `shard_nodes` by hash, so every table's groups have a bounded size. In each shard a first graph comes from exact neighbours inside small cells of random
 projections; NN-descent then joins, round by round, each node's neighbours (both ways) with their neighbours, and keeps the nearest.
-Queries, in blocks, search each shard greedily: from fixed entry nodes the best nodes not yet expanded are expanded until
-the `beam` nearest found are all expanded. The nearest over all shards are scored in double precision on the original vectors.
+Queries, in blocks, search each shard greedily: from fixed entry nodes the best nodes not yet expanded are expanded, over their own links
+and a few far ones that keep groups of near copies in reach, until the `beam` nearest found are all expanded. The nearest over all shards are scored
+in double precision on the original vectors; scores that agree to twelve decimals are ties. A shard's table travels once for `QUERY_BLOCK` queries.
 
 Every row is indexed. Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither do empty
 ones; vectors of another dimension than the query's are no candidates; rows that repeat id and vector are one row;
@@ -20,12 +21,18 @@ from pyspark.sql import functions as F
 
 from .runtime import stored
 
-DEGREE, BEAM, ROUNDS, SHARD_NODES, QUERY_BLOCK = 20, 128, 3, 4096, 1024
-_CELL, _TREES, _ENTRIES, _EXPAND = 64, 3, 48, 6
+DEGREE, BEAM, ROUNDS, SHARD_NODES, QUERY_BLOCK = 20, 128, 3, 4096, 1 << 14
+_CELL, _TREES, _ENTRIES, _EXPAND, _FAR, _AT_ONCE, _DECIMALS = 64, 3, 256, 6, 4, 512, 12
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square over- or underflows."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    return directions(vectors).astype(np.float32)
 
 
 def nearest_of(x: np.ndarray, candidates: list[np.ndarray], degree: int) -> list[np.ndarray]:
@@ -140,7 +147,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
 
 
 def _adjacency(near: list[np.ndarray], degree: int) -> np.ndarray:
-    """Neighbours of each node and up to as many that have it as theirs, nearest ranks first."""
+    """Neighbours of each node, up to as many that have it as theirs, nearest ranks first, and a few nodes drawn at random."""
     n = len(near)
     source = np.repeat(np.arange(n), [len(x) for x in near])
     target = np.concatenate(near) if n else np.zeros(0, np.int64)
@@ -148,7 +155,8 @@ def _adjacency(near: list[np.ndarray], degree: int) -> np.ndarray:
     order = np.lexsort((rank, target))
     source, target = source[order], target[order]
     place = np.arange(len(target)) - np.searchsorted(target, target, "left")
-    out = np.full((n, 2 * degree), -1, np.int64)
+    out = np.full((n, 2 * degree + _FAR), -1, np.int64)
+    out[:, 2 * degree :] = np.random.default_rng(n).integers(0, n, (n, _FAR))
     for i, x in enumerate(near):
         out[i, : len(x)] = x
     good = place < degree
@@ -169,15 +177,17 @@ def search_graph(graph: DataFrame, queries: DataFrame, found: int, degree: int =
         if not len(own) or not len(index):
             return pd.DataFrame({"query": [], "node": [], "score": []})
         index = index.sort_values("i")
-        original, asked_ = np.stack(index["vector"]), np.stack(own["vector"])
-        hits = greedy_search(unit(original), _adjacency([*index["near"]], degree), unit(asked_), beam)[:, : 2 * found]
-        nodes, keys = index["node"].to_numpy(), own["query"].to_numpy()
+        exact, asked_ = directions(np.stack(index["vector"])), directions(np.stack(own["vector"]))
+        x, adjacency, nodes, keys = exact.astype(np.float32), _adjacency([*index["near"]], degree), index["node"].to_numpy(), own["query"].to_numpy()
         out = []
-        for k, ids in enumerate(hits):
-            ids = ids[ids >= 0]
-            score = (original[ids] @ asked_[k]) / (np.linalg.norm(original[ids], axis=1) * np.linalg.norm(asked_[k]))
-            best = np.argsort(-score, kind="stable")[:found]
-            out.append(pd.DataFrame({"query": keys[k], "node": nodes[ids[best]], "score": score[best]}))
+        for at in range(0, len(keys), _AT_ONCE):
+            part = asked_[at : at + _AT_ONCE]
+            for k, ids in enumerate(greedy_search(x, adjacency, part.astype(np.float32), beam)):
+                ids = ids[ids >= 0]
+                score = exact[ids] @ part[k]
+                least = np.round(np.sort(score)[::-1][:found][-1], _DECIMALS)
+                ids, score = ids[np.round(score, _DECIMALS) >= least], score[np.round(score, _DECIMALS) >= least]  # all ties stay: their ids decide
+                out.append(pd.DataFrame({"query": keys[at + k], "node": nodes[ids], "score": score}))
         return pd.concat(out)
 
     return dealt.groupBy("dim", "shard", "block").cogroup(asked.groupBy("d", "s", "b")).applyInPandas(search, "query long, node long, score double")
@@ -187,16 +197,21 @@ def nearest_neighbours(embeddings: DataFrame, every: int = 50, k: int = 5, degre
     """query_id, rank, vec_id and score of the k nearest rows of each row whose id is divisible by `every`; ties to smaller ids."""
     rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("node", F.xxhash64("vector"))
+    rows = rows.where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    largest = F.array_max(F.transform("vector", F.abs))
+    scaled = F.transform("vector", lambda x: x / F.col("largest"))
+    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+    rows = rows.withColumn("largest", largest).withColumn("scaled", scaled).withColumn("norm", norm)
+    rows = rows.select("id", "vector", F.xxhash64(F.transform("scaled", lambda x: F.round(x / F.col("norm"), 10) + F.lit(0.0))).alias("node"))
     rows = stored(rows, "vectors")
     graph = build_graph(_nodes(rows, shard_nodes), degree, rounds)
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "node").distinct()
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["node"]).select(F.col("node").alias("query"), "vector")
     hits = search_graph(graph, stored(asked, "queries"), k + 1, degree, beam)
-    hits = stored(hits.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("r") <= k + 1).drop("r"), "hits")
+    hits = stored(hits.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", _DECIMALS))))).where(F.col("r") <= k + 1).drop("r"), "hits")
     wanted = hits.select("node").distinct()
     members = rows.join(wanted, "node", "left_semi").select("node", "id").distinct()
     members = members.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1).drop("r")
     found = hits.join(members, "node").join(queries.select(F.col("node").alias("query"), F.col("id").alias("query_id")), "query").where("id <> query_id")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", _DECIMALS)), "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -67,3 +67,26 @@ def test_rounds_improve_the_graph():
     around = [set(a) | {j for j in range(600) if i in graph[j]} for i, a in enumerate(graph)]
     graph = N.nearest_of(x, [np.array(sorted(set().union(around[i], *(around[j] for j in around[i])))) for i in range(600)], 10)
     assert np.mean([len({*a} & {*b}) for a, b in zip(graph, truth)]) > before + 1
+
+
+def test_scaled_copies_and_extreme_norms(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=8)
+    rows = [(100, base.tolist(), "x")] + [(100 + i, (base * i).tolist(), "x") for i in range(1, 21)] + [(300 + i, rng.normal(size=8).tolist(), "x") for i in range(40)]
+    rows += [(500, [1e-30] * 8, "x"), (501, [1e30] * 8, "x"), (502, [-1e-40] * 8, "x")]
+    got = N.nearest_neighbours(spark.createDataFrame([(i, [float(x) for x in v], n) for i, v, n in rows], "vec_id long, embedding array<double>, node string")).collect()
+    by = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (100, 500)}
+    assert by[100] == [101, 102, 103, 104, 105] and by[500][0] == 501
+    assert all(np.isfinite(r.score) for r in got)
+
+
+def test_groups_without_an_entry_node_are_found(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(120, 24))
+    rows = [(i, (centres[i % 120] + 0.3 * rng.normal(size=24)).tolist(), "x") for i in range(4080)]
+    got = N.nearest_neighbours(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute(rows, 50, 5)
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(by[i] & {x[0] for x in want[i]}) for i in want) >= 0.9 * sum(map(len, want.values()))
