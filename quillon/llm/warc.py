@@ -80,41 +80,62 @@ def parse_record(data: bytes, start: int) -> Record | None:
     return Record(start, end + 4, headers, block)
 
 
-def member(data: bytes, start: int, step: int = 1 << 16) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member at `start`, or None if it is damaged."""
+def member(data: bytes, start: int, step: int = 1 << 16) -> tuple[bytes, int | None]:
+    """(content, end) of the gzip member at `start`; of a damaged or cut one what inflates, and no end."""
     inflate, out, at = zlib.decompressobj(31), [], start
-    try:
-        while not inflate.eof and at < len(data):
+    while not inflate.eof and at < len(data):
+        before = inflate.copy()
+        try:
             out.append(inflate.decompress(data[at : at + step]))
-            at += step
-    except zlib.error:
-        return None
-    return (b"".join(out), min(at, len(data)) - len(inflate.unused_data)) if inflate.eof else None
+        except zlib.error:
+            for i in range(at, min(at + step, len(data))):  # byte by byte up to the damage
+                try:
+                    out.append(before.decompress(data[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None
+        at += step
+    return b"".join(out), min(at, len(data)) - len(inflate.unused_data) if inflate.eof else None
+
+
+def _records(content: bytes) -> tuple[list[Record], bool]:
+    """(the valid records of a member's content, whether any of it is none)."""
+    found, lost, at = [], False, 0
+    while 0 <= at < len(content):
+        if r := parse_record(content, at):
+            found.append(r)
+            at = r.end
+        else:
+            lost, at = True, content.find(VERSION, at + 1)
+    return found, lost
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """The valid records of an archive in order, and the byte gaps between them that failed."""
+    """The valid records of an archive in order, and the byte gaps between them that failed.
+
+    A record inside a gzip member has the member's place; a member that holds anything but valid records gives those it holds and then a gap
+    over the whole member. One whose end can't be found gives its records, and the gap goes to the next valid member or record.
+    """
     at, lost = 0, None
     while at < len(data):
-        found: list[Record] = []
         if data[at] == 0 and lost is None:
             at += 1
             continue
-        if data[at : at + 3] == GZIP and (content := member(data, at)):
-            inner = 0
-            while inner < len(content[0]) and (r := parse_record(content[0], inner)):
-                found.append(Record(at, content[1], r.headers, r.block))
-                inner = r.end
-            if inner < len(content[0]):
-                found = []
-            end = content[1]
+        found, broken, end = [], False, None
+        if data[at : at + 3] == GZIP:
+            content, end = member(data, at)
+            inner, broken = _records(content)
+            found = [Record(at, at if end is None else end, r.headers, r.block) for r in inner]
+            broken = broken or end is None
         elif r := parse_record(data, at):
             found, end = [r], r.end
-        if found:
-            if lost is not None:
-                yield Gap(lost, at)
-                lost = None
-            yield from found
+        if found and lost is not None:
+            yield Gap(lost, at)
+            lost = None
+        yield from found
+        if found and end is not None:
+            if broken:
+                yield Gap(at, end)
             at = end
             continue
         lost = at if lost is None else lost

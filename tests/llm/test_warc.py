@@ -55,3 +55,16 @@ def test_salvage_of_plain_records():
     assert [warc.page_of(r.headers["warc-record-id"]) for r in found if isinstance(r, warc.Record)] == [0, 2]
     gaps = [g for g in found if isinstance(g, warc.Gap)]
     assert gaps[0] == warc.Gap(len(parts[0]), len(parts[0] + wrong)) and gaps[-1].end == len(data)
+
+
+def test_salvage_inside_members():
+    rng = random.Random(2)
+    parts = [record(i, bytes(rng.randrange(256) for _ in range(3000))) for i in range(6)]
+    wrong = parts[1].replace(b"WARC-Payload", b"WARC-PayloaD", 1)[:-5] + b"x\r\n\r\n"
+    one = gzip.compress(parts[0] + wrong + parts[2], mtime=0)
+    cut = bytearray(gzip.compress(parts[3] + parts[4], mtime=0))
+    cut[-100] ^= 0xFF  # the last record's bytes; the ones before still inflate
+    data = one + bytes(cut) + gzip.compress(parts[5], mtime=0)
+    found = [*warc.salvage(data)]
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found if isinstance(r, warc.Record)] == [0, 2, 3, 5]
+    assert [g for g in found if isinstance(g, warc.Gap)] == [warc.Gap(0, len(one)), warc.Gap(len(one), len(one) + len(cut))]
