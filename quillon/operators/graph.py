@@ -49,7 +49,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         stepped = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("component", "_near").alias("component"))
         jump = stepped.select(F.col("node").alias("_n"), F.col("component").alias("_j"))
         labels = settled(stepped.join(jump, F.col("component") == F.col("_n"), "left").select("node", F.least("component", "_j").alias("component")))
-        now = tuple(labels.agg(F.sum("component"), F.count(F.lit(1))).first())
+        now = tuple(labels.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)")), F.count(F.lit(1))).first())
         if now == before:
             return labels
         before = now

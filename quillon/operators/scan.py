@@ -128,10 +128,14 @@ def excesses(rows: DataFrame, coded: DataFrame, config: ScanConfig, by: str = "c
     return rows.join(coded, "t").groupBy(by).applyInPandas(score, f"{by} string, excess double, self_r2 double")
 
 
+#: The self-prediction that a ghost's donor needs, and the fewest donors with which the ghosts are a calibrated null.
+DONOR_R2, LEAST_DONORS = 0.9, 8
+
+
 def ghost_rows(rows: DataFrame, scores: DataFrame, config: ScanConfig) -> DataFrame:
     """Rows of time-shifted copies: donors with self_r2 over 0.9 (all channels if fewer than 8), shifts in the middle half."""
-    good = scores.where("self_r2 > 0.9").select("channel")
-    donors = good if good.count() >= 8 else scores.select("channel")
+    good = scores.where(F.col("self_r2") > DONOR_R2).select("channel")
+    donors = good if good.count() >= LEAST_DONORS else scores.select("channel")
     order = F.xxhash64(F.lit(config.seed), F.col("channel"))
     donors = donors.orderBy(order).limit(config.ghosts)
     n = F.count(F.lit(1)).over(Window.partitionBy("channel"))
@@ -152,8 +156,12 @@ def scan(series: DataFrame, config: ScanConfig = ScanConfig()) -> tuple[DataFram
     threshold = ghosts.agg(F.greatest(F.lit(0.0), F.coalesce(F.max("excess"), F.lit(0.0))).alias("threshold"))
     result = scores.join(F.broadcast(threshold)).withColumn("driven", F.col("excess") > F.col("threshold"))
     length = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("rows"))
-    gates = length.join(ghosts.agg(F.median("excess").alias("ghost_median"))).join(result.agg(F.avg(F.col("driven").cast("int")).alias("driven_share")))
-    gates = gates.select("rows", "ghost_median", "driven_share", (F.col("rows") >= 2000).alias("long_enough"), (F.col("driven_share") < 0.9).alias("not_saturated"), (F.col("ghost_median") <= 0.005).alias("clean_ghosts"))
+    above = F.col("self_r2") > DONOR_R2
+    own = result.agg(F.avg(F.col("driven").cast("int")).alias("driven_share"), F.median("self_r2").alias("self_r2_median"), F.max("self_r2").alias("self_r2_max"), F.avg(above.cast("int")).alias("donor_share"), F.count_if(above).alias("donors"))
+    null = ghosts.agg(F.median("excess").alias("ghost_median"), F.max("excess").alias("ghost_max"))
+    # Without enough channels that predict themselves the ghosts are a scale of noise, not a calibrated null.
+    verdicts = (F.col("rows") >= 2000).alias("long_enough"), (F.col("donors") >= LEAST_DONORS).alias("saturated"), (F.col("ghost_median") <= 0.005).alias("clean_ghosts")
+    gates = length.join(null).join(own).select("rows", "ghost_median", "ghost_max", "driven_share", "self_r2_median", "self_r2_max", "donor_share", "donors", *verdicts)
     return result, ghosts, gates
 
 

@@ -93,12 +93,15 @@ def sta24_rule_of_three(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count_if((F.col("lang") != "en") | F.col("lang").isNull()).alias("n")).select("source", stats.rule_of_three(F.col("n")).alias("bound"))
 
 
-@query()
+@query("""WITH c AS (SELECT source, count(*) FILTER (WHERE toxic = 1) AS k, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), a AS (SELECT sum(n) AS total, sum(k) AS m FROM c),
+i AS (SELECT source, k, n, total, m, unnest(range(0, (n + 1)::BIGINT)) AS i FROM c, a)
+SELECT source, round(coalesce(sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(total - m + 1) - lgamma(n - i + 1) - lgamma(total - m - n + i + 1) - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1))) FILTER (WHERE i >= k AND i <= m AND n - i <= total - m), 0), 9) AS p_enriched,
+round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FILTER (WHERE i >= k), 9) AS p_sign FROM i GROUP BY 1""")
 def sta19_exact_tails(t: Tables) -> DataFrame:
     counts = t.documents.join(t.labels, "doc_id").groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("k"), F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("population"), F.sum("k").alias("marked"))
     joined = counts.join(F.broadcast(total))
-    return joined.select("source", stats.hypergeometric_sf("k", "population", "marked", "n").alias("p_enriched"), stats.sign_test("k", "n").alias("p_sign"))
+    return joined.select("source", F.round(stats.hypergeometric_sf("k", "population", "marked", "n"), 9).alias("p_enriched"), F.round(stats.sign_test("k", "n"), 9).alias("p_sign"))
 
 
 @query()

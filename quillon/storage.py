@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir (a temporary one where it is unset) and read back."""
+    """df written to the shared folder of spark.checkpoint.dir (where it is unset and all runs on one machine, a temporary one) and read back."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"

@@ -120,7 +120,7 @@ def test_scan_finds_driven_channels(spark):
     assert len(set(out["channel"][:4]) & truth) >= 3
     assert out[out["channel"].isin(truth)]["excess"].mean() > out[~out["channel"].isin(truth)]["excess"].mean()
     assert ghosts.agg(F.median("excess")).first()[0] < 0.05
-    assert set(gates.columns) == {"rows", "ghost_median", "driven_share", "long_enough", "not_saturated", "clean_ghosts"}
+    assert set(gates.columns) == {"rows", "ghost_median", "ghost_max", "driven_share", "self_r2_median", "self_r2_max", "donor_share", "donors", "long_enough", "saturated", "clean_ghosts"}
 
 
 def test_noise_models_orient_a_cubic(spark):
