@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import median_gap
 from .pairs import BLOCK
 
 KERNELS = ("dot", "cosine", "rbf")
@@ -186,3 +187,41 @@ def weight_statistics(df: DataFrame, key: str, vector: str, block: int = BLOCK)
     square = np.maximum(np.linalg.eigvalsh(gram_matrix(df, vector)[2])[::-1], 0)
     p = square / square.sum() if square.any() else np.ones(len(square)) / len(square)
     return {"bits": 8 * sums["bytes"] / sums["size"], "stable_rank": float(square.sum() / (square[0] or 1.0)), "spectral_entropy": float(-(p[p > 0] * np.log(p[p > 0])).sum())}
+
+
+def grouped_hsic(df: DataFrame, by: str, x: str, y: str, block: int = BLOCK) -> DataFrame:
+    """(by, n, hsic): dependence of two columns in each group over all rows, with Gaussian kernels at the median positive squared distance.
+
+    Equal rows are counted first, so repeated values are one weighted row. Each task holds two blocks of a group; only the widths need a
+    group's one column in a task. Rows with a null are left out; a group of one row has 0.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    counted = rows.groupBy("g", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    sides = rows.select("g", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s")).select("g", "s.*")
+    kind = dict(df.dtypes)[by]
+
+    def width(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": frame["g"].iloc[:1], "side": frame["side"].iloc[:1], "gap": [median_gap(frame["v"].to_numpy())], "n": [float(len(frame))]})
+
+    gaps = sides.groupBy("g", "side").applyInPandas(width, f"g {kind}, side string, gap double, n double")
+    gaps = gaps.groupBy("g").agg(F.max(F.when(F.col("side") == "x", F.col("gap"))).alias("a"), F.max(F.when(F.col("side") == "y", F.col("gap"))).alias("b"), F.max("n").alias("n"))
+    blocks = counted.groupBy("g").agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("blocks"))
+    placed = counted.join(gaps.join(blocks, "g"), "g").withColumn("blk", F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = placed.select("g", F.col("blk").alias("q"), every.alias("p"), F.lit(0).alias("side"), "x", "y", "w", "a", "b", "n")
+    points = placed.select("g", every.alias("q"), F.col("blk").alias("p"), F.lit(1).alias("side"), "x", "y", "w", "a", "b", "n")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        q, p = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        (x1, y1), (x2, y2) = ((f["x"].to_numpy(), f["y"].to_numpy()) for f in (q, p))
+        kernel = np.exp(-((x1[:, None] - x2[None]) ** 2) / frame["a"].iloc[0])
+        other = np.exp(-((y1[:, None] - y2[None]) ** 2) / frame["b"].iloc[0])
+        w = p["w"].to_numpy()
+        return pd.DataFrame({"g": q["g"], "x": x1, "y": y1, "w": q["w"], "n": q["n"], "k": kernel @ w, "m": other @ w, "both": (kernel * other) @ w})
+
+    made = asks.unionByName(points).groupBy("g", "q", "p").applyInPandas(run, f"g {kind}, x double, y double, w double, n double, k double, m double, both double")
+    each = made.groupBy("g", "x", "y", "w", "n").agg(F.sum("k").alias("k"), F.sum("m").alias("m"), F.sum("both").alias("both"))
+    w, n = F.col("w"), F.col("n")
+    sums = each.groupBy("g", "n").agg(F.sum(w * F.col("both")).alias("joint"), F.sum(w * F.col("k") * F.col("m")).alias("cross"), F.sum(w * F.col("k")).alias("k"), F.sum(w * F.col("m")).alias("m"))
+    total = F.col("joint") - 2 * F.col("cross") / n + F.col("k") * F.col("m") / (n * n)
+    return sums.select(F.col("g").alias(by), n.cast("long").alias("n"), F.when(n > 1, total / ((n - 1) * (n - 1))).otherwise(0.0).alias("hsic"))

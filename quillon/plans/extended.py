@@ -101,14 +101,7 @@ def scl24_cheapest_key(t: Tables) -> DataFrame:
 
 @query()
 def sta13_hsic(t: Tables) -> DataFrame:
-
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"l_returnflag": f["l_returnflag"], "hsic": [stats.hsic(np.array([r["l_quantity"] for r in s]), np.array([r["l_extendedprice"] for r in s])) for s in f["s"]]})
-
-    sampled = R.top_per_group(t.lineitem, ["l_returnflag"], [F.asc("l_orderkey"), F.asc("l_linenumber")], 150)
-    rows = sampled.groupBy("l_returnflag").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"))).alias("s"))
-    return rows.mapInPandas(run, "l_returnflag string, hsic double")
+    return blocks.grouped_hsic(t.lineitem, "l_returnflag", "l_quantity", "l_extendedprice")
 
 
 @query()

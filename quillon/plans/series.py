@@ -144,7 +144,7 @@ def drv10_threshold_rules(t: Tables) -> DataFrame:
 
 @query()
 def cau01_anm_orientation(t: Tables) -> DataFrame:
-    return causal.anm_orient(generators.noisy_pairs(t.spark, 200), draws=39, most=200)
+    return causal.anm_orient(generators.noisy_pairs(t.spark, 600))
 
 
 @query()

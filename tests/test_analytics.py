@@ -124,8 +124,8 @@ def test_scan_finds_driven_channels(spark):
 
 
 def test_noise_models_orient_a_cubic(spark):
-    out = {r.pair: r.verdict for r in causal.anm_orient(generators.noisy_pairs(spark, 200), draws=39, most=200).collect()}
-    assert out == {"forward": "x causes y", "backward": "y causes x", "independent": "independent"}
+    out = {r.pair: r.verdict for r in causal.anm_orient(generators.noisy_pairs(spark, 600), draws=99).collect()}
+    assert out == {"forward": "x->y", "backward": "y->x", "independent": "independent"}
 
 
 def test_gates_rank_signal_over_noise(spark):
