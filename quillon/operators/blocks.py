@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import median_gap
-from .pairs import BLOCK
+from .pairs import BLOCK, dealt
 
 KERNELS = ("dot", "cosine", "rbf")
 
@@ -26,7 +26,7 @@ def _faced(df: DataFrame, key: str, vector: str, value: str, block: int) -> tupl
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(value).cast("double").alias("value"), own.alias("blk"))
     asks = rows.select(F.col("blk").alias("q_blk"), every.alias("p_blk"), F.lit(0).alias("side"), "key", "vector", "value")
     points = rows.select(every.alias("q_blk"), F.col("blk").alias("p_blk"), F.lit(1).alias("side"), "key", "vector", "value")
-    return asks.unionByName(points), blocks
+    return dealt(asks.unionByName(points), blocks * blocks, "q_blk", "p_blk"), blocks
 
 
 def _two(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]:
@@ -189,7 +189,11 @@ def weight_statistics(df: DataFrame, key: str, vector: str, block: int = BLOCK)
     return {"bits": 8 * sums["bytes"] / sums["size"], "stable_rank": float(square.sum() / (square[0] or 1.0)), "spectral_entropy": float(-(p[p > 0] * np.log(p[p > 0])).sum())}
 
 
-def grouped_hsic(df: DataFrame, by: str, x: str, y: str, block: int = BLOCK) -> DataFrame:
+#: Rows of a kernel block computed at a time.
+STRIP = 64
+
+
+def grouped_hsic(df: DataFrame, by: str, x: str, y: str, block: int = 4 * BLOCK) -> DataFrame:
     """(by, n, hsic): dependence of two columns in each group over all rows, with Gaussian kernels at the median positive squared distance.
 
     Equal rows are counted first, so repeated values are one weighted row. Each task holds two blocks of a group; only the widths need a
@@ -207,19 +211,28 @@ def grouped_hsic(df: DataFrame, by: str, x: str, y: str, block: int = BLOCK) ->
     gaps = gaps.groupBy("g").agg(F.max(F.when(F.col("side") == "x", F.col("gap"))).alias("a"), F.max(F.when(F.col("side") == "y", F.col("gap"))).alias("b"), F.max("n").alias("n"))
     blocks = counted.groupBy("g").agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("blocks"))
     placed = counted.join(gaps.join(blocks, "g"), "g").withColumn("blk", F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asks = placed.select("g", F.col("blk").alias("q"), every.alias("p"), F.lit(0).alias("side"), "x", "y", "w", "a", "b", "n")
-    points = placed.select("g", every.alias("q"), F.col("blk").alias("p"), F.lit(1).alias("side"), "x", "y", "w", "a", "b", "n")
+    later, earlier = F.sequence("blk", F.col("blocks") - 1), F.when(F.col("blk") > 0, F.sequence(F.lit(0), F.col("blk") - 1))
+    left = placed.select("g", F.col("blk").alias("q"), F.explode(later).alias("p"), F.lit(0).alias("side"), "x", "y", "w", "a", "b", "n")
+    right = placed.select("g", F.explode(earlier).alias("q"), F.col("blk").alias("p"), F.lit(1).alias("side"), "x", "y", "w", "a", "b", "n")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        q, p = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        (x1, y1), (x2, y2) = ((f["x"].to_numpy(), f["y"].to_numpy()) for f in (q, p))
-        kernel = np.exp(-((x1[:, None] - x2[None]) ** 2) / frame["a"].iloc[0])
-        other = np.exp(-((y1[:, None] - y2[None]) ** 2) / frame["b"].iloc[0])
-        w = p["w"].to_numpy()
-        return pd.DataFrame({"g": q["g"], "x": x1, "y": y1, "w": q["w"], "n": q["n"], "k": kernel @ w, "m": other @ w, "both": (kernel * other) @ w})
-
-    made = asks.unionByName(points).groupBy("g", "q", "p").applyInPandas(run, f"g {kind}, x double, y double, w double, n double, k double, m double, both double")
+        one, two = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        same = frame["q"].iloc[0] == frame["p"].iloc[0]
+        two = one if same else two
+        (x1, y1, w1), (x2, y2, w2) = (f[["x", "y", "w"]].to_numpy().T for f in (one, two))
+        a, b = frame["a"].iloc[0], frame["b"].iloc[0]
+        ahead, back = np.zeros((len(one), 3)), np.zeros((len(two), 3))
+        for i in range(0, len(one), STRIP):
+            rows = slice(i, i + STRIP)
+            k, m = np.exp(-((x1[rows, None] - x2) ** 2) / a), np.exp(-((y1[rows, None] - y2) ** 2) / b)
+            for c, part in enumerate((k, m, k * m)):
+                ahead[rows, c] = part @ w2
+                back[:, c] += w1[rows] @ part
+        sides = [(one, ahead)] if same else [(one, ahead), (two, back)]
+        return pd.concat([f[["g", "x", "y", "w", "n"]].assign(k=v[:, 0], m=v[:, 1], both=v[:, 2]) for f, v in sides])
+
+    pairs = blocks.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    made = dealt(left.unionByName(right), pairs, "g", "q", "p").groupBy("g", "q", "p").applyInPandas(run, f"g {kind}, x double, y double, w double, n double, k double, m double, both double")
     each = made.groupBy("g", "x", "y", "w", "n").agg(F.sum("k").alias("k"), F.sum("m").alias("m"), F.sum("both").alias("both"))
     w, n = F.col("w"), F.col("n")
     sums = each.groupBy("g", "n").agg(F.sum(w * F.col("both")).alias("joint"), F.sum(w * F.col("k") * F.col("m")).alias("cross"), F.sum(w * F.col("k")).alias("k"), F.sum(w * F.col("m")).alias("m"))

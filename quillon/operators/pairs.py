@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: The most tasks that block pairs are dealt to; a task takes several beyond it.
+MOST_TASKS = 20_000
+
+
+def dealt(cells: DataFrame, count: int, *keys: str) -> DataFrame:
+    """Cells parted by their keys into a task each. Cells are small to move and long to work on, so their bytes mustn't decide how many tasks there are."""
+    return cells.repartition(max(1, min(int(count), MOST_TASKS)), *keys)
 
 
 def block_pairs(df: DataFrame, key: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
@@ -20,7 +27,7 @@ def block_pairs(df: DataFrame, key: str, vector: str, label: str, block: int = B
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("long").alias("label"), own.alias("blk"))
     left = rows.select(F.col("blk").alias("i_blk"), F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("j_blk"), F.lit(0).alias("side"), "key", "vector", "label")
     right = rows.where("blk > 0").select(F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("i_blk"), F.col("blk").alias("j_blk"), F.lit(1).alias("side"), "key", "vector", "label")
-    return left.unionByName(right)
+    return dealt(left.unionByName(right), blocks * (blocks + 1) // 2, "i_blk", "j_blk")
 
 
 def _sides(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
