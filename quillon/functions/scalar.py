@@ -141,3 +141,15 @@ def polynomial(lags: list[Column], degree: int) -> list[Column]:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(Column.__and__, conditions)
+
+
+def name_root(c: Column, known: list[str]) -> Column:
+    """The longest known name left after taking digits and the letters L, R, D, V off the end, at least one; the name itself if none is known."""
+    spare = F.length(F.regexp_extract(c, "[0-9LRDV]*$", 0))
+    roots = F.when(spare > 0, F.transform(F.sequence(F.lit(1), spare), lambda k: F.substring(c, F.lit(1), F.length(c) - k)))
+    return F.coalesce(F.try_element_at(F.filter(roots, lambda r: r.isin(known)), F.lit(1)), c)
+
+
+def interactions(own: Column, code: Column) -> Column:
+    """Every entry of one array times every entry of another, by rows."""
+    return F.flatten(F.transform(own, lambda a: F.transform(code, lambda b: a * b)))

@@ -14,19 +14,58 @@ from pyspark.sql import functions as F
 from ..functions.ranks import min_rank
 from ..functions.stats import auroc
 from .relational import shares
-from .scan import ridge_r2
 
 
 def grouped_ridge(df: DataFrame, by: str, x: list[str], y: list[str], train: str, alpha: float = 1.0, intercept: bool = False, ddof: int = 1) -> DataFrame:
-    """(by, r2): held-out R2 of one ridge fit a group, averaged over targets and floored at 0."""
+    """(by, r2): held-out R2 of one ridge fit a group, averaged over targets and floored at 0; nan with under two rows of either part.
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b, t = frame[x].to_numpy(float), frame[y].to_numpy(float), frame[train].to_numpy(bool)
-        score = ridge_r2(a[t], b[t], a[~t], b[~t], alpha, intercept, ddof) if t.sum() > 1 and (~t).sum() > 1 else float("nan")
-        return pd.DataFrame({by: frame[by].iloc[:1], "r2": [score]})
+    Groups stay distributed: Gram matrices are sums, only a group's one row of sums meets Python, and errors are sums again.
+    """
+    rows = df.select(F.col(by).alias("g"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)), *(F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(y)), F.col(train).alias("t")).dropna()
+    names = [*(f"x{i}" for i in range(len(x))), *(f"y{i}" for i in range(len(y)))]
+    cells = [(i, j) for i in range(len(x)) for j in range(i, len(names))]
+    sums = rows.where("t").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(c) for c in names)).alias("mean"), F.array(*(F.covar_pop(names[i], names[j]) for i, j in cells)).alias("cov"))
+
+    def solve(frames):
+        for f in frames:
+            weights = []
+            for n, mean, cov in zip(f["n"], f["mean"], f["cov"]):
+                gram = np.zeros((len(x), len(names)))
+                for (i, j), c in zip(cells, cov):
+                    gram[i, j] = n * (c + (0 if intercept else mean[i] * mean[j]))
+                    if j < len(x):
+                        gram[j, i] = gram[i, j]
+                weights.append(np.linalg.solve(gram[:, : len(x)] + alpha * np.eye(len(x)), gram[:, len(x) :]).T.ravel())
+            yield pd.DataFrame({"g": f["g"], "n": f["n"], "mean": f["mean"], "weights": weights})
 
     kind = dict(df.dtypes)[by]
-    return df.select(by, *x, *y, train).dropna().groupBy(by).applyInPandas(fit, f"{by} {kind}, r2 double")
+    fits = sums.mapInPandas(solve, f"g {kind}, n long, mean array<double>, weights array<double>")
+    level = lambda i: F.col("mean")[i] if intercept else F.lit(0.0)
+    guess = lambda k: sum(((F.col(f"x{i}") - level(i)) * F.col("weights")[k * len(x) + i] for i in range(len(x))), level(len(x) + k))
+    held = rows.where(~F.col("t")).join(fits.where("n > 1"), "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.avg((F.col(f"y{k}") - guess(k)) ** 2).alias(f"e{k}") for k in range(len(y))), *((F.var_samp if ddof else F.var_pop)(f"y{k}").alias(f"s{k}") for k in range(len(y))))
+    each = [F.when(F.col(f"s{k}") > 0, F.greatest(F.lit(0.0), 1 - F.col(f"e{k}") / F.col(f"s{k}"))).otherwise(0.0) for k in range(len(y))]
+    scores = held.where("n > 1").select("g", (sum(each[1:], each[0]) / len(y)).alias("r2"))
+    return rows.select("g").distinct().join(scores, "g", "left").select(F.col("g").alias(by), F.coalesce("r2", F.lit(float("nan"))).alias("r2"))
+
+
+def panel_ridge(df: DataFrame, partners: DataFrame, key: str, vector: str, alpha: float = 1.0) -> DataFrame:
+    """(key, r2): in-sample R2, held in [0, 1], of each entity's centred vector by ridge on those of its partners (key, partner); 0 if constant.
+
+    A task holds an entity and its few partners; vectors travel once for each pair.
+    """
+    vectors = df.select(F.col(key).cast("long").alias("partner"), F.col(vector).cast("array<double>").alias("v"))
+    pairs = partners.select("key", "partner").unionByName(partners.select("key").distinct().withColumn("partner", F.col("key")))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame["partner"] == frame["key"]
+        m = np.stack([*frame[own]["v"], *frame[~own].sort_values("partner")["v"]]).T
+        m = m - m.mean(0)
+        x, y = m[:, 1:], m[:, 0]
+        rest = y - x @ np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ y)
+        total = (y**2).sum()
+        return pd.DataFrame({"key": frame["key"].iloc[:1], "r2": [float(np.clip(1 - (rest**2).sum() / total, 0, 1)) if total > 0 else 0.0]})
+
+    return pairs.join(vectors, "partner").groupBy("key").applyInPandas(fit, "key long, r2 double")
 
 
 def neighbour_regression(points: np.ndarray, values: np.ndarray, queries: np.ndarray, k: int = 5, weighted: bool = False) -> np.ndarray:
@@ -137,14 +176,13 @@ def paired_z(deltas: DataFrame, by: str, control: Column, value: str) -> DataFra
 
 
 def neural_collapse(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    """(within, between, ratio): scatter of unit activations inside and between classes."""
-    w = Window.partitionBy(label)
-    n = F.count(F.lit(1))
-    inner = sum((F.col(c) - F.avg(c).over(w)) ** 2 for c in columns)
+    """(within, between, ratio): scatter of unit activations inside and between classes, from each class's sums."""
+    means = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), *(F.avg(c).alias(c) for c in columns), *(F.var_pop(c).alias(f"_s{i}") for i, c in enumerate(columns)))
     overall = df.agg(*(F.avg(c).alias(f"_{c}") for c in columns))
-    means = df.groupBy(label).agg(*(F.avg(c).alias(c) for c in columns), n.alias("_n")).join(F.broadcast(overall))
-    outer = means.agg((F.sum(F.col("_n") * sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in columns)) / F.sum("_n")).alias("between"))
-    return df.select(inner.alias("_i")).agg(F.avg("_i").alias("within")).join(outer).withColumn("ratio", F.try_divide("within", "between"))
+    inner = sum((F.col(f"_s{i}") for i in range(1, len(columns))), F.col("_s0"))
+    outer = sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in columns)
+    out = means.join(F.broadcast(overall)).agg((F.sum(F.col("_n") * inner) / F.sum("_n")).alias("within"), (F.sum(F.col("_n") * outer) / F.sum("_n")).alias("between"))
+    return out.withColumn("ratio", F.try_divide("within", "between"))
 
 
 def weight_statistics(weights: np.ndarray) -> dict[str, float]:

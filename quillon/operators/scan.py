@@ -128,6 +128,50 @@ def excesses(rows: DataFrame, coded: DataFrame, config: ScanConfig, by: str = "c
     return rows.join(coded, "t").groupBy(by).applyInPandas(score, f"{by} string, excess double, self_r2 double")
 
 
+#: Channels up to which a readout sees the whole state: each row then carries every other channel.
+MOST_CHANNELS = 64
+#: The ridge of the readout from raw states. Fixed value.
+RAW_RIDGE = 100.0
+
+
+def readouts(rows: DataFrame, coded: DataFrame, config: ScanConfig) -> DataFrame:
+    """(channel, base, affine, interaction, raw, oracle, readout_share, compression_share): held-out R2 of a channel's own products (base), and
+    what is added to it by the code, by the code and its products with own delays, by the other channels' delays under a strong ridge and by
+    all their products. The shares split the gap between affine and oracle into what the readout and what the code lose; null without a gap.
+
+    For up to MOST_CHANNELS channels; times at which a channel lacks are left out.
+    """
+    channels = rows.select("channel").distinct().count()
+    if channels > MOST_CHANNELS:
+        raise ValueError(f"{channels} channels, readouts take up to {MOST_CHANNELS}")
+    whole = rows.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("channel", "own"))).alias("all")).where(F.size("all") == channels)
+    others = F.flatten(F.transform(F.filter("all", lambda s: s["channel"] != F.col("channel")), lambda s: s["own"]))
+
+    def score(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t")
+        lags, y, train = np.stack(frame["own"]), frame["target"].to_numpy(), frame["train"].to_numpy()
+        own, code, width = products(lags, config.degree), np.stack(frame["code"]), int(frame["width"].iloc[0])
+        rest = np.stack(frame["others"])
+        r2 = lambda alpha, *x: ridge_r2(np.hstack(x)[train], y[train], np.hstack(x)[~train], y[~train], alpha)
+        base = r2(config.ridge, own)
+        members = [code[:, i : i + width] for i in range(0, code.shape[1], width)]
+        crossed = lambda c: (lags[:, :, None] * c[:, None, :]).reshape(len(c), -1)
+        full = [products(rest[:, i : i + lags.shape[1]], config.degree) for i in range(0, rest.shape[1], lags.shape[1])]
+        gains = {
+            "affine": np.mean([r2(config.ridge, own, c) for c in members]) - base,
+            "interaction": np.mean([r2(config.ridge, own, c, crossed(c)) for c in members]) - base,
+            "raw": r2(RAW_RIDGE, own, rest) - base,
+            "oracle": r2(config.ridge, own, *full) - base,
+        }
+        return pd.DataFrame({"channel": frame["channel"].iloc[:1], "base": [base], **{k: [float(v)] for k, v in gains.items()}})
+
+    joined = rows.join(coded, "t").join(whole, "t").withColumn("others", others).drop("all")
+    out = joined.groupBy("channel").applyInPandas(score, "channel string, base double, affine double, interaction double, raw double, oracle double")
+    gap = F.col("oracle") - F.col("affine")
+    share = lambda a, b: F.when(gap > 0, (F.col(a) - F.col(b)) / gap)
+    return out.select("*", share("interaction", "affine").alias("readout_share"), share("oracle", "interaction").alias("compression_share"))
+
+
 #: The self-prediction that a ghost's donor needs, and the fewest donors with which the ghosts are a calibrated null.
 DONOR_R2, LEAST_DONORS = 0.9, 8
 

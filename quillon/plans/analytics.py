@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, stats
-from ..operators import graph, importance, pairs, redundancy
+from ..operators import graph, importance, learning, pairs, redundancy
 from ..operators import relational as R
 from ..storage import settled
 from .catalogue import Tables, query
@@ -228,17 +230,83 @@ def reg04_residual_by_group(t: Tables) -> DataFrame:
     return t.events.join(F.broadcast(means), "event_type").select("event_id", F.round(F.col("value") - F.col("_m"), 6).alias("residual"))
 
 
-@query("SELECT l_returnflag, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY 1")
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _pairwise_sql(table: str, columns: dict[str, str], bins: int = 32) -> str:
+    """CTEs ending in r(predictor, target, r2) over expressions of a table."""
+    clean = f"c AS (SELECT {', '.join(f'({e})::DOUBLE AS {n}' for n, e in columns.items())} FROM {table})"
+    ends = f"e AS (SELECT {', '.join(f'min({n}) AS lo_{n}, max({n}) AS hi_{n}' for n in columns)} FROM c)"
+    cells = " UNION ALL ".join(f"SELECT '{a}' AS predictor, '{b}' AS target, least(floor(({a} - lo_{a}) / (hi_{a} - lo_{a}) * {bins}), {bins - 1}) AS bin, {b} AS v FROM c, e" for a in columns for b in columns if a != b)
+    means = "m AS (SELECT predictor, target, bin, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM p GROUP BY ALL), o AS (SELECT predictor, target, sum(n * m) / sum(n) AS mean FROM m GROUP BY ALL)"
+    return f"{clean}, {ends}, p AS ({cells}), {means}, r AS (SELECT predictor, target, sum(n * pow(m - mean, 2)) / (sum(n * pow(m - mean, 2)) + sum(n * s)) AS r2 FROM m JOIN o USING (predictor, target) GROUP BY ALL)"
+
+
+@query(f"WITH {_pairwise_sql('lineitem', dict(zip(_MEASURES, _MEASURES)))} SELECT predictor, target, round(r2, 6) AS r2 FROM r")
 def red03_pairwise_r2(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"))
+    return redundancy.pairwise_r2(t.lineitem, _MEASURES).withColumn("r2", F.round("r2", 6))
+
+
+_COPIES = {"l_quantity": "l_quantity", "square": "l_quantity * l_quantity", "wave": "cos(l_quantity / 8)", "l_tax": "l_tax", "rate": "1 + l_tax / 2", "l_discount": "l_discount"}
+
+
+@query(f"""WITH RECURSIVE {_pairwise_sql('lineitem', _COPIES)}, l AS (SELECT a.predictor AS src, a.target AS dst FROM r a JOIN r b ON a.predictor = b.target AND a.target = b.predictor WHERE a.r2 >= 0.95 AND b.r2 >= 0.95),
+w AS (SELECT src AS node, src AS to_node FROM l UNION SELECT node, dst FROM w JOIN l ON to_node = src) SELECT node, min(to_node) AS component FROM w GROUP BY node""")
+def red06_equivalence_classes(t: Tables) -> DataFrame:
+    """Classes of columns and their transforms that predict each other; a wave is predicted by its source, but not the source by it."""
+    made = t.lineitem.select(*(F.expr(e).alias(n) for n, e in _COPIES.items()))
+    links = redundancy.equivalence_links(redundancy.pairwise_r2(made, list(_COPIES)).withColumnsRenamed({"predictor": "i", "target": "j", "r2": "score"}), 0.95)
+    names = F.array(*map(F.lit, sorted(_COPIES)))
+    code = lambda c: F.array_position(names, F.col(c)).alias(c)
+    name = lambda c: F.element_at(names, F.col(c).cast("int")).alias(c)
+    return graph.components(links.select(code("src"), code("dst"))).select(name("node"), name("component"))
 
 
 _COLUMNS = ["l_quantity", "l_discount", "l_tax"]
 
 
-@query()
+def _r2_sql(target: str, others: list[str]) -> str:
+    """R2 of a least-squares fit by determinants of correlation matrices, over columns r_a_b of correlations."""
+
+    def det(rows: list[str], columns: list[str]) -> str:
+        if not rows:
+            return "1"
+        cell = lambda b: "1" if rows[0] == b else f"r_{min(rows[0], b)}_{max(rows[0], b)}"
+        return "(" + " + ".join(f"{'-' if k % 2 else ''}{cell(b)} * {det(rows[1:], columns[:k] + columns[k + 1 :])}" for k, b in enumerate(columns)) + ")"
+
+    return f"(1 - {det([target, *others], [target, *others])} / {det(others, others)})" if others else "0"
+
+
+_CORRELATIONS = "WITH c AS (SELECT " + ", ".join(f"corr({a}, {b}) AS r_{a}_{b}" for a, b in combinations(sorted(_MEASURES), 2)) + " FROM lineitem)"
+_PRICE = "l_extendedprice"
+
+
+def _losses_sql(name: str, left: dict[str, list[str]]) -> str:
+    """Rows (name, loss) of what the price's R2 loses when only the listed columns are left."""
+    return f"{_CORRELATIONS} " + " UNION ALL ".join(f"SELECT '{n}' AS {name}, round({_r2_sql(_PRICE, _COLUMNS)} - {_r2_sql(_PRICE, own)}, 9) AS loss FROM c" for n, own in left.items())
+
+
+def _shapley_sql() -> str:
+    def term(feature: str) -> str:
+        rest = [c for c in _COLUMNS if c != feature]
+        subsets = [list(s) for k in range(len(rest) + 1) for s in combinations(rest, k)]
+        return " + ".join(f"({_r2_sql(_PRICE, [*s, feature])} - {_r2_sql(_PRICE, s)}) / {3 if len(s) in (0, len(rest)) else 6}" for s in subsets)
+
+    return f"{_CORRELATIONS} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round({term(f)}, 9) AS shapley FROM c" for f in _COLUMNS)
+
+
+@query(f"""{_CORRELATIONS}, s AS (SELECT 'l_extendedprice' AS feature, 1.0::DOUBLE AS r2 UNION ALL SELECT 'l_net', 1.0 FROM c UNION ALL SELECT 'l_quantity', {_r2_sql("l_quantity", ["l_extendedprice", "l_tax"])} FROM c UNION ALL SELECT 'l_tax', {_r2_sql("l_tax", ["l_extendedprice", "l_quantity"])} FROM c)
+SELECT feature, round(r2 + 1e-9, 6) AS r2_from_others, r2 >= 0.95 AS redundant, CASE WHEN r2 >= 0.95 THEN 'redundant' WHEN r2 >= 0.5 THEN 'partially redundant' ELSE 'unique' END AS verdict FROM s""")
 def red01_redundancy_scores(t: Tables) -> DataFrame:
-    return redundancy.redundancy_scores(t.lineitem.withColumn("l_net", F.col("l_extendedprice") * 2 + 1), ["l_quantity", "l_extendedprice", "l_net", "l_tax"])
+    scores = redundancy.redundancy_scores(t.lineitem.withColumn("l_net", F.col("l_extendedprice") * 2 + 1), ["l_quantity", "l_extendedprice", "l_net", "l_tax"])
+    return scores.withColumn("r2_from_others", F.round(F.col("r2_from_others") + 1e-9, 6))
+
+
+@query()
+def red01_forest_scores(t: Tables) -> DataFrame:
+    """A wave of a column is a copy that only the forest sees."""
+    rows = t.part.select(F.col("p_size").cast("double").alias("size"), F.cos(F.col("p_size") / 8).alias("wave"), F.col("p_retailprice").alias("price"))
+    return redundancy.redundancy_scores(rows, ["size", "wave", "price"], trees=20)
 
 
 @query()
@@ -247,21 +315,32 @@ def red04_minimal_removals(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(c,) for c in gone], "feature string")
 
 
-@query("""WITH v(mask, value) AS (VALUES (0, 0.0), (1, 0.2), (2, 0.3), (3, 0.6), (4, 0.1), (5, 0.35), (6, 0.4), (7, 0.9)), f(bit, feature) AS (VALUES (1, 'a'), (2, 'b'), (4, 'c'))
-SELECT feature, round(sum((w.value - v.value) * CASE bit_count(v.mask::BIGINT) WHEN 1 THEN 1.0 / 6 ELSE 1.0 / 3 END)::DOUBLE, 9) AS shapley FROM f JOIN v ON v.mask & bit = 0 JOIN v w ON w.mask = v.mask | bit GROUP BY 1""")
-def red07_shapley(t: Tables) -> DataFrame:
-    values = t.spark.createDataFrame([(0, 0.0), (1, 0.2), (2, 0.3), (3, 0.6), (4, 0.1), (5, 0.35), (6, 0.4), (7, 0.9)], "mask long, value double")
-    return redundancy.shapley(values, ["a", "b", "c"]).select("feature", F.round("shapley", 9).alias("shapley"))
+@query(_shapley_sql())
+def red07_shapley_of_columns(t: Tables) -> DataFrame:
+    return redundancy.shapley(redundancy.coalition_values(t.lineitem, "l_extendedprice", _COLUMNS), _COLUMNS).withColumn("shapley", F.round("shapley", 9))
 
 
 @query()
-def red07_shapley_of_columns(t: Tables) -> DataFrame:
-    return redundancy.shapley(redundancy.coalition_values(t.lineitem, "l_extendedprice", _COLUMNS), _COLUMNS)
+def red09_noise_floor(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(redundancy.noise_floor(t.lineitem, "l_extendedprice", _COLUMNS),)], "floor double")
 
 
-@query()
+@query(_losses_sql("feature", {c: [o for o in _COLUMNS if o != c] for c in _COLUMNS}))
 def red10_leave_one_out(t: Tables) -> DataFrame:
-    return redundancy.leave_one_out(t.lineitem, "l_extendedprice", _COLUMNS)
+    return redundancy.leave_one_out(t.lineitem, "l_extendedprice", _COLUMNS).withColumn("loss", F.round("loss", 9))
+
+
+@query(_losses_sql("\"group\"", {"amount": ["l_discount", "l_tax"], "rates": ["l_quantity"]}))
+def red05_group_losses(t: Tables) -> DataFrame:
+    r2 = redundancy.scorer(t.lineitem, ["l_extendedprice", *_COLUMNS])
+    losses = learning.group_losses(lambda own: r2("l_extendedprice", own), {"amount": ["l_quantity"], "rates": ["l_discount", "l_tax"]})
+    return t.spark.createDataFrame(losses, "group string, loss double").withColumn("loss", F.round("loss", 9))
+
+
+@query()
+def reg05_panel_ridge(t: Tables) -> DataFrame:
+    partners = pairs.top_partners(t.embeddings, "vec_id", "embedding", "label", 5)
+    return learning.panel_ridge(t.embeddings, partners, "vec_id", "embedding")
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -79,6 +81,18 @@ def scl16_logsumexp(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(scalar.logsumexp(F.col("embedding").cast("array<double>")), 6).alias("energy"))
 
 
+@query("SELECT p_partkey, CASE WHEN left(p_brand, length(p_brand) - 1) IN ('Brand#1', 'Brand#3') THEN left(p_brand, length(p_brand) - 1) ELSE 'Brand#' END AS root FROM part")
+def scl09_name_root(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", scalar.name_root(F.col("p_brand"), ["Brand#", "Brand#1", "Brand#3"]).alias("root"))
+
+
+@query("SELECT vec_id, a AS row_, b AS col_, round(embedding[a]::DOUBLE * embedding[3 + b]::DOUBLE + 1e-9, 6) AS product FROM embeddings, range(1, 4) x(a), range(1, 3) y(b)")
+def scl14_interactions(t: Tables) -> DataFrame:
+    e = F.col("embedding").cast("array<double>")
+    made = t.embeddings.select("vec_id", F.posexplode(scalar.interactions(F.slice(e, 1, 3), F.slice(e, 4, 2))).alias("k", "product"))
+    return made.select("vec_id", (F.floor(F.col("k") / 2) + 1).alias("row_"), (F.col("k") % 2 + 1).cast("long").alias("col_"), F.round(F.col("product") + 1e-9, 6).alias("product"))
+
+
 @query("SELECT event_id, round(cos(radians(value % 90)) * cos(radians(user_id)), 9) AS x, round(cos(radians(value % 90)) * sin(radians(user_id)), 9) AS y, round(sin(radians(value % 90)), 9) AS z FROM events")
 def scl17_unit_sphere(t: Tables) -> DataFrame:
     x, y, z = scalar.unit_sphere(F.col("value") % 90, F.col("user_id"))
@@ -141,10 +155,13 @@ def sta30_participation_ratio(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(ratio, n95)], "participation double, n_95 int")
 
 
-@query()
+@query("""WITH d AS (SELECT l_returnflag AS g, l_orderkey % 5 <> 0 AS train, l_extendedprice AS a, l_discount AS b, l_extendedprice * (1 - l_discount) AS y FROM lineitem),
+m AS (SELECT g, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS bz FROM d WHERE train GROUP BY g),
+w AS (SELECT *, (ay * bb - bz * ab) / (aa * bb - ab * ab) AS wa, (bz * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)
+SELECT g AS l_returnflag, round(greatest(0, 1 - avg(pow(y - my - (a - ma) * wa - (b - mb) * wb, 2)) / var_pop(y)), 6) AS r2 FROM d JOIN w USING (g) WHERE NOT train GROUP BY g""")
 def reg01_grouped_ridge(t: Tables) -> DataFrame:
     rows = t.lineitem.withColumn("train", F.col("l_orderkey") % 5 != 0).withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return learning.grouped_ridge(rows, "l_returnflag", ["l_extendedprice", "l_discount"], ["net"], "train", intercept=True, ddof=0)
+    return learning.grouped_ridge(rows, "l_returnflag", ["l_extendedprice", "l_discount"], ["net"], "train", intercept=True, ddof=0).withColumn("r2", F.round("r2", 6))
 
 
 @query()
@@ -153,9 +170,10 @@ def reg09_component_knee(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(r, s, learning.knee(scores, 0.5)) for r, s in scores.items()], "width int, r2 double, knee int")
 
 
-@query()
+@query("""WITH p AS (SELECT a.vec_id, b.vec_id AS o, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, b.label AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d * d, 9), o) AS k FROM p) SELECT vec_id, round(sum(v / greatest(d, 1e-12)) / sum(1 / greatest(d, 1e-12)) + 1e-9, 6) AS predicted FROM r WHERE k <= 5 GROUP BY 1""")
 def reg07_neighbour_regression(t: Tables) -> DataFrame:
-    return blocks.neighbour_regression(t.embeddings, "vec_id", "embedding", "label", 5)
+    return blocks.neighbour_regression(t.embeddings, "vec_id", "embedding", "label", 5).withColumn("predicted", F.round(F.col("predicted") + 1e-9, 6))
 
 
 @query()
@@ -188,25 +206,9 @@ def drv11_artifact_floor(t: Tables) -> DataFrame:
 @query()
 def drv14_readout_decomposition(t: Tables) -> DataFrame:
     made = generators.coupled_system(t.spark, 1, 700, 8, 3)
-    config = scan.ScanConfig(degree=2, difference=False, members=1)
+    config = scan.ScanConfig(degree=2, difference=False, members=2)
     rows = scan.states(made, config)
-    return scan.excesses(rows, scan.codes(rows, config), config)
-
-
-@query()
-def red05_group_losses(t: Tables) -> DataFrame:
-    columns = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    _, _, cov = redundancy.moments(t.lineitem, columns)
-    r2 = lambda cs: redundancy.linear_r2(cov, 0, [columns.index(c) for c in cs])
-    return t.spark.createDataFrame(learning.group_losses(r2, {"amount": ["l_quantity"], "rates": ["l_discount", "l_tax"]}), "group string, loss double")
-
-
-@query("SELECT 'a' AS node, 'a' AS component UNION ALL SELECT 'b', 'a' UNION ALL SELECT 'c', 'a'")
-def red06_equivalence_classes(t: Tables) -> DataFrame:
-    scores = t.spark.createDataFrame([("a", "b", 0.97), ("b", "a", 0.96), ("b", "c", 0.99), ("c", "b", 0.98), ("a", "d", 0.99), ("d", "a", 0.2)], "i string, j string, score double")
-    links = redundancy.equivalence_links(scores, 0.95)
-    codes = links.select(F.col("src").alias("s"), F.col("dst").alias("d")).select(F.ascii("s").cast("long").alias("src"), F.ascii("d").cast("long").alias("dst"))
-    return graph.components(codes).select(F.char("node").alias("node"), F.char("component").alias("component"))
+    return scan.readouts(rows, scan.codes(rows, config), config)
 
 
 @query()
@@ -234,11 +236,13 @@ def grf05_symmetric_in_weight(t: Tables) -> DataFrame:
     return graph.both_ways(edges).groupBy("dst").agg(F.count(F.lit(1)).alias("in_weight"))
 
 
-@query()
+@query("""WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), k AS (SELECT label, c, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM u GROUP BY ALL), o AS (SELECT c, avg(v) AS g, count(*) AS total FROM u GROUP BY c),
+x AS (SELECT sum(n * s / total) AS inside, sum(n * pow(m - g, 2) / total) AS outside FROM k JOIN o USING (c)) SELECT round(inside, 6) AS within, round(outside, 6) AS "between", round(inside / outside, 6) AS ratio FROM x""")
 def nn12_neural_collapse(t: Tables) -> DataFrame:
     width = len(t.embeddings.select("embedding").first()[0])
     units = t.embeddings.select("label", *(F.col("embedding")[k].cast("double").alias(f"u{k}") for k in range(width)))
-    return learning.neural_collapse(units, "label", [f"u{k}" for k in range(width)])
+    out = learning.neural_collapse(units, "label", [f"u{k}" for k in range(width)])
+    return out.select(F.round("within", 6).alias("within"), F.round("between", 6).alias("between"), F.round("ratio", 6).alias("ratio"))
 
 
 @query()
@@ -280,20 +284,21 @@ def drv12_outflow(t: Tables) -> DataFrame:
     return scan.outflows(rows, scan.codes(rows, config), config)
 
 
-@query()
+@query("""WITH p AS (SELECT c_custkey, c_acctbal, radians(c_nationkey * 6.0 - 75 + c_custkey % 5) AS lat, radians(c_custkey * 1.0) AS lon FROM customer), x AS (SELECT c_custkey, c_acctbal, cos(lat) * cos(lon) AS x, cos(lat) * sin(lon) AS y, sin(lat) AS z FROM p),
+c AS (SELECT -1 AS draw, *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM x UNION ALL SELECT k AS draw, x.*, row_number() OVER (PARTITION BY k ORDER BY md5(k || ':' || c_custkey), c_custkey) AS r FROM x, range(20) d(k)), s AS (SELECT * FROM c WHERE r <= 500),
+n AS (SELECT a.draw, a.c_custkey, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM s a JOIN s b ON a.draw = b.draw AND a.c_custkey <> b.c_custkey GROUP BY ALL) SELECT draw::INT AS draw, round(median(d), 9) AS median_distance FROM n GROUP BY draw""")
 def drv17_spatial_clustering(t: Tables) -> DataFrame:
-    """Median nearest distance on the sphere of the best customers against hash-drawn sets of the same size."""
+    """Median nearest distance on the sphere of the 500 best customers (draw -1) against 20 hash-drawn sets of the same size; sizes are the feature."""
     x, y, z = scalar.unit_sphere(F.col("c_nationkey") * 6.0 - 75 + F.col("c_custkey") % 5, F.col("c_custkey") * 1.0)
     places = t.customer.select("c_custkey", "c_acctbal", x.alias("x"), y.alias("y"), z.alias("z"))
-    sets = [(-1, F.desc("c_acctbal"))] + [(k, F.asc(F.xxhash64(F.lit(k), "c_custkey"))) for k in range(5)]
-    drawn = [places.orderBy(o, "c_custkey").limit(50).withColumn("draw", F.lit(k)) for k, o in sets]
-    every = drawn[0]
-    for d in drawn[1:]:
-        every = every.unionByName(d)
+    by_hash = lambda k: F.md5(F.concat(F.lit(f"{k}:"), F.col("c_custkey").cast("string")).cast("binary"))
+    sets = [(-1, F.desc("c_acctbal")), *((k, by_hash(k)) for k in range(20))]
+    drawn = [places.orderBy(o, "c_custkey").limit(500).withColumn("draw", F.lit(k)) for k, o in sets]
+    every = reduce(DataFrame.unionByName, drawn)
     other = every.select("draw", F.col("c_custkey").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
     chord = F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2)
     near = every.join(other, "draw").where("c_custkey <> o").groupBy("draw", "c_custkey").agg(F.min(chord).alias("d"))
-    return near.groupBy("draw").agg(F.median("d").alias("median_distance"))
+    return near.groupBy("draw").agg(F.round(F.median("d"), 9).alias("median_distance"))
 
 
 @query()
