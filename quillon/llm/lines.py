@@ -19,6 +19,7 @@ other columns are carried along; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -62,16 +63,27 @@ class Lines:
         place = np.arange(len(row)) - np.repeat(begins, count)
         keep = ends - starts >= least
         self.row, self.place, self.starts, self.ends = row[keep], place[keep], starts[keep], ends[keep]
-        powers, self.inverse = hashing._tables(len(self.codes) + 1)
-        values = hashing.mix(self.codes.astype(np.uint64) + U(1))
-        self.values = values
-        self.sums = np.zeros(len(self.codes) + 1, np.uint64)
-        np.cumsum(values * powers[: len(self.codes)], out=self.sums[1:])
         at = np.append(np.flatnonzero(head), len(data))
-        self.ids, self.checks = (hashing.span_hashes(data, at[self.starts], at[self.ends], seed) for seed in (1, 2))
+        self.data, self.at = data, (at[self.starts], at[self.ends])
+        self.ids = hashing.span_hashes(data, *self.at, 1)
+
+    @cached_property
+    def checks(self) -> np.ndarray:
+        return hashing.span_hashes(self.data, *self.at, 2)
+
+    @cached_property
+    def values(self) -> np.ndarray:
+        return hashing.mix(self.codes.astype(np.uint64) + U(1))
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        sums = np.zeros(len(self.codes) + 1, np.uint64)
+        np.cumsum(self.values * hashing._tables(len(self.codes) + 1)[0][: len(self.codes)], out=sums[1:])
+        return sums
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return hashing.mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        inverse = hashing._tables(len(self.codes) + 1)[1]
+        return hashing.mix((self.sums[ends] - self.sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
     def signatures(self, which: np.ndarray) -> np.ndarray:
         """Counts modulo 16 of 15 classes of characters, four bits each."""
@@ -170,9 +182,11 @@ def _distinct(rows: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[Line
         for _, data, offsets in text_chunks(batch.column(2)):
             lines = Lines(data, offsets, least)
             ids, which = np.unique(lines.ids, return_index=True)
-            which = which[~np.isin(ids, seen)]
-            seen = np.union1d(seen, ids) if len(seen) < 1 << 20 else ids
-            yield lines, which
+            place = np.searchsorted(seen, ids)
+            new = np.append(seen, U(0))[place] != ids
+            new[place == len(seen)] = True
+            seen = np.insert(seen, place[new], ids[new]) if len(seen) < 1 << 20 else ids  # stays sorted
+            yield lines, which[new]
 
 
 def _key_counts(rows: DataFrame, least: int, threshold: int) -> np.ndarray:
