@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import contamination
 from .contamination import find_contamination
+from .erasure import erase_clients, erasure_folder
 from .jaccard import jaccard_components
 from .language import predict_language
 from .lines import dropped_lines
@@ -80,8 +81,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final files after the victims' clients, clicks, sales and lines were erased."""
+    return erase_clients(*(_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")), erasure_folder(spark))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_contamination, op4_lines, op5_jaccard, op6_packing, op7_lm, op8_language, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_contamination, op4_lines, op5_jaccard, op6_packing, op7_lm, op8_language, op9_warc, op10_token_counts, op11_erasure)}
 
 
 def oracle_sql() -> dict[str, str]:
