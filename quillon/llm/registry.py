@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import contamination
+from .alignment import alignment_digest
 from .contamination import find_contamination
 from .erasure import erase_clients, erasure_folder
 from .jaccard import jaccard_components
 from .language import predict_language
 from .lines import dropped_lines
 from .lm import score_texts
+from .mixing import mix_digest
 from .neighbours import nearest_neighbours
 from .packing import pack
 from .runtime import scratch
@@ -86,8 +88,18 @@ def op11_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return erase_clients(*(_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")), erasure_folder(spark))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources takes of every document."""
+    return mix_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two vocabularies over every document, weighed by the corpus's counts of linked ids."""
+    return alignment_digest(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_contamination, op4_lines, op5_jaccard, op6_packing, op7_lm, op8_language, op9_warc, op10_token_counts, op11_erasure)}
+    return {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_contamination, op4_lines, op5_jaccard, op6_packing, op7_lm, op8_language, op9_warc, op10_token_counts, op11_erasure, op12_mixing, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
