@@ -4,7 +4,8 @@ write_archives() puts one gzip member for each record, members parted by one zer
 through Spark's text writer, so that archives can be in any store. read_archives() checks each member (gzip CRC) and
 record (version line, Content-Length, closing blank lines, block digest); after a failed check it searches for the next
 gzip member or version line that holds a valid record, goes on from there, and logs the bytes between as a gap. Plain
-(uncompressed) archives are read alike.
+(uncompressed) archives are read alike. A Content-Length is 1 to 18 decimal digits; a header of more than 64 KB, or with a version
+line inside, is none. The next place of each mark is kept until it is passed, so junk is searched once.
 
 Defined results: null html is an empty payload; a null page_id is written as such, is always a response and is referred to
 by none; rows that repeat page_id and payload are all responses if that page_id is the largest; control characters in a URL are
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+GZIP, VERSION, BLANK_LINE = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+MOST_HEADER = 1 << 16
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "file string, offset long, length long, ok boolean, page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -58,22 +60,40 @@ def record_bytes(kind: str, page_id: int | None, url: str, date: str, payload: b
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes, start: int) -> Record | None:
+class Marks:
+    """The next place of each mark in some bytes, for rising positions."""
+
+    def __init__(self, data: bytes):
+        self.data, self.places = data, {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The mark's first place from `at` on; the length of the bytes if there is none."""
+        asked, place = self.places.get(mark, (0, -1))
+        if not asked <= at <= place:
+            place = self.data.find(mark, at)
+            place = len(self.data) if place < 0 else place
+            self.places[mark] = at, place
+        return place
+
+
+def parse_record(data: bytes, start: int, marks: Marks | None = None) -> Record | None:
     """The record at `start`, or None if it fails a check."""
     if data[start : start + len(VERSION)] != VERSION:
         return None
-    middle = data.find(b"\r\n\r\n", start)
-    if middle < 0:
+    middle = (marks or Marks(data)).next(BLANK_LINE, start)
+    if middle == len(data) or middle - start > MOST_HEADER or data.find(b"\n" + VERSION, start, middle) >= 0:
         return None
     try:
         lines = data[start:middle].decode("utf-8").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        end = middle + 4 + int(headers["content-length"])
-    except (UnicodeDecodeError, KeyError, ValueError):
+    except UnicodeDecodeError:
         return None
-    block = data[middle + 4 : end]
-    if data[end : end + 4] != b"\r\n\r\n":
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
+        return None
+    end = middle + 4 + int(headers["content-length"])
+    if data[end : end + 4] != BLANK_LINE:
         return None
+    block = data[middle + 4 : end]
     said = headers.get("warc-block-digest", "")
     if said.startswith("sha1:") and said[5:] != base32_sha1(block):
         return None
@@ -100,13 +120,13 @@ def member(data: bytes, start: int, step: int = 1 << 16) -> tuple[bytes, int | N
 
 def _records(content: bytes) -> tuple[list[Record], bool]:
     """(the valid records of a member's content, whether any of it is none)."""
-    found, lost, at = [], False, 0
-    while 0 <= at < len(content):
-        if r := parse_record(content, at):
+    found, lost, at, marks = [], False, 0, Marks(content)
+    while at < len(content):
+        if r := parse_record(content, at, marks):
             found.append(r)
             at = r.end
         else:
-            lost, at = True, content.find(VERSION, at + 1)
+            lost, at = True, marks.next(VERSION, at + 1)
     return found, lost
 
 
@@ -116,7 +136,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     A record inside a gzip member has the member's place; a member that holds anything but valid records gives those it holds and then a gap
     over the whole member. One whose end can't be found gives its records, and the gap goes to the next valid member or record.
     """
-    at, lost = 0, None
+    at, lost, marks = 0, None, Marks(data)
     while at < len(data):
         if data[at] == 0 and lost is None:
             at += 1
@@ -127,7 +147,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             inner, broken = _records(content)
             found = [Record(at, at if end is None else end, r.headers, r.block) for r in inner]
             broken = broken or end is None
-        elif r := parse_record(data, at):
+        elif r := parse_record(data, at, marks):
             found, end = [r], r.end
         if found and lost is not None:
             yield Gap(lost, at)
@@ -139,8 +159,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             at = end
             continue
         lost = at if lost is None else lost
-        after = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-        at = min(after, default=len(data))
+        at = min(marks.next(GZIP, at + 1), marks.next(VERSION, at + 1))
     if lost is not None:
         yield Gap(lost, len(data))
 

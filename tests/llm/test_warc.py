@@ -1,5 +1,8 @@
 import gzip
 import random
+import time
+
+import pytest
 
 from quillon.llm import warc
 from quillon.llm.runtime import scratch
@@ -68,3 +71,38 @@ def test_salvage_inside_members():
     found = [*warc.salvage(data)]
     assert [warc.page_of(r.headers["warc-record-id"]) for r in found if isinstance(r, warc.Record)] == [0, 2, 3, 5]
     assert [g for g in found if isinstance(g, warc.Gap)] == [warc.Gap(0, len(one)), warc.Gap(len(one), len(one) + len(cut))]
+
+
+@pytest.mark.parametrize("length", ["-4", "-1", "+8", "1_0", "", "9" * 30, "99999999", "0x8", " "])
+def test_damaged_lengths_end(length):
+    parts = [record(i) for i in range(3)]
+    size = len(parts[1].split(b"\r\n\r\n", 1)[1]) - 4
+    wrong = parts[1].replace(b"Content-Length: %d\r\n\r\n" % size, b"Content-Length: " + length.encode() + b"\r\n\r\n", 1)
+    found = [*warc.salvage(parts[0] + wrong + parts[2])]
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found if isinstance(r, warc.Record)] == [0, 2]
+    assert [g for g in found if isinstance(g, warc.Gap)] == [warc.Gap(len(parts[0]), len(parts[0] + wrong))]
+    inner = [*warc.salvage(gzip.compress(parts[0] + wrong + parts[2], mtime=0))]
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in inner if isinstance(r, warc.Record)] == [0, 2]
+
+
+def test_a_length_that_points_back_before_the_record():
+    back = b"\r\n\r\nWARC/1.1\r\nContent-Length: -33\r\n\r\n"
+    found = [*warc.salvage(record(1) + back + record(2))]
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found if isinstance(r, warc.Record)] == [1, 2]
+
+
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\n", b"WARC/1.1\r\n\r\n", b"WARC/1.1\r\nContent-Length: 5\r\n", b"WARC/1." + b"x" * 50])
+def test_junk_is_searched_once(junk):
+    began = time.time()
+    found = [*warc.salvage(record(1) + junk * (8_000_000 // len(junk)) + b"\r\n\r\n" + record(2))]
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found if isinstance(r, warc.Record)] == [1, 2]
+    assert time.time() - began < 30
+
+
+def test_a_member_cut_at_every_byte():
+    first, last = gzip.compress(record(1), mtime=0), gzip.compress(record(3), mtime=0)
+    middle = gzip.compress(record(2), mtime=0)
+    for cut in range(len(middle)):
+        found = [*warc.salvage(first + middle[:cut] + last)]
+        ids = [warc.page_of(r.headers["warc-record-id"]) for r in found if isinstance(r, warc.Record)]
+        assert ids in ([1, 3], [1, 2, 3])
