@@ -3,8 +3,7 @@
 Input is long (t, channel, value). Per channel a polynomial ridge on its own delays is the baseline; the excess is what a shared
 low-dimensional code of all channels adds on held-out time. Time-shifted copies of well-predicted channels set the threshold.
 
-The code is linear (principal components of masked states), one for each member of an ensemble: a different estimator than a masked
-autoencoder, so thresholds come from its own shifted controls.
+The codes are those of an ensemble of masked autoencoders (autoencoder.py). Training times come first, then a gap, then test times.
 """
 
 from __future__ import annotations
@@ -19,16 +18,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, finite_or
 from ..storage import settled
+from . import autoencoder
 
 
 @dataclass(frozen=True)
 class ScanConfig:
     dimension: int = 3
     degree: int = 3
-    train: float = 0.7
+    train: float = 0.6
+    gap: float = 0.2
     code: int = 8
     members: int = 2
     masked: float = 0.25
+    steps: int = 60
+    rate: float = 0.01
+    binary: bool = False
+    fill: str = "zero"
     ridge: float = 1.0
     ghosts: int = 50
     difference: bool = True
@@ -69,47 +74,36 @@ def states(series: DataFrame, config: ScanConfig) -> DataFrame:
     kept = df.where((F.col("_p") >= config.dimension) & F.col("target").isNotNull())
     # The last `dimension` training rows go: their targets reach over the seam.
     edge = F.floor(F.col("_n") * config.train)
-    return kept.where((F.col("_p") > edge) | (F.col("_p") <= edge - config.dimension)).select("channel", "t", (F.col("_p") <= edge).alias("train"), "own", "target")
+    return kept.where((F.col("_p") > F.floor(F.col("_n") * (config.train + config.gap))) | (F.col("_p") <= edge - config.dimension)).select("channel", "t", (F.col("_p") <= edge).alias("train"), "own", "target")
+
+
+def wide_states(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(t, train, x: all channels' delays in the order of the names) of the times at which no channel lacks, and the names."""
+    names = sorted(r[0] for r in rows.select("channel").distinct().collect())
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("channel", "own"))), lambda s: s["own"].cast("array<float>"))
+    wide = rows.groupBy("t").agg(F.flatten(packed).alias("x"), F.count(F.lit(1)).alias("_n"), F.bool_and("train").alias("train"))
+    return wide.where(F.col("_n") == len(names)).select("t", "train", "x"), names
+
+
+def trained(rows: DataFrame, config: ScanConfig) -> tuple[DataFrame, list[str], list, autoencoder.Training]:
+    """(wide states, channels, the ensemble's parameters, how it was trained) on training times."""
+    wide, names = wide_states(rows)
+    wide = settled(wide)
+    how = autoencoder.Training(config.code, config.members, config.masked, config.steps, config.rate, config.binary, config.fill, config.seed)
+    return wide, names, autoencoder.train(wide.where("train").select("t", "x"), len(names) * config.dimension, config.dimension, how), how
 
 
 def codes(rows: DataFrame, config: ScanConfig) -> DataFrame:
-    """(t, code): for each time the ensemble's codes, one after another.
+    """(t, code, width): for each time the codes of an ensemble of masked autoencoders, one after another."""
+    wide, _, model, how = trained(rows, config)
+    return autoencoder.encoded(wide, model, config.dimension, how)
 
-    Gram matrices (bounded by channels * dimension squared) are summed over partitions; each member leaves its masked channels out.
-    """
-    wide = rows.groupBy("t").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("channel", "own"))), lambda s: s["own"])).alias("x"), F.bool_and("train").alias("train"))
-    size = (rows.select("channel").distinct().count()) * config.dimension
-    wide = settled(wide.where(F.size("x") == size))
-
-    def gram(frames):
-        total = np.zeros((size, size))
-        for f in frames:
-            if len(f):
-                x = np.stack(f["x"])
-                total = total + x.T @ x
-        yield pd.DataFrame({"one": [0], "g": [total.ravel()]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [np.sum(np.stack(frame["g"]), axis=0)]})
-
-    summed = wide.where("train").select("x").mapInPandas(gram, "one int, g array<double>").groupBy("one").applyInPandas(add, "g array<double>").collect()
-    total = np.array(summed[0]["g"]).reshape(size, size) if summed else np.zeros((size, size))
-    rng, parts = np.random.default_rng(config.seed), []
-    for _ in range(config.members):
-        keep = np.repeat(rng.random(size // config.dimension) >= config.masked, config.dimension)
-        keep = keep if keep.any() else ~keep
-        _, vectors = np.linalg.eigh(total[np.ix_(keep, keep)])
-        basis = np.zeros((size, min(config.code, keep.sum())))
-        basis[keep] = vectors[:, ::-1][:, : basis.shape[1]]
-        parts.append(basis)
-    basis, width = np.concatenate(parts, axis=1), parts[0].shape[1]
-
-    def encode(frames):
-        for f in frames:
-            if len(f):
-                yield pd.DataFrame({"t": f["t"], "code": list(np.stack(f["x"]) @ basis), "width": width})
-
-    return wide.mapInPandas(encode, "t long, code array<double>, width int")
+
+def membership(series: DataFrame, config: ScanConfig | None = None, draws: int = 10) -> DataFrame:
+    """(channel, membership, spread): how well held-out values of a channel are recreated from all others."""
+    config = config or ScanConfig()
+    wide, names, model, how = trained(settled(states(series, config)), config)
+    return autoencoder.memberships(wide.where("not train"), names, model, config.dimension, how, draws if config.fill == "uniform" else 1)
 
 
 def excesses(rows: DataFrame, coded: DataFrame, config: ScanConfig, by: str = "channel") -> DataFrame:

@@ -13,7 +13,9 @@ from ..functions import scalar, stats
 from ..operators import blocks, graph, learning, manifold, redundancy, scan
 from ..operators import relational as R
 from ..sources import generators
+from ..storage import settled
 from .catalogue import Tables, query
+from .series import HOURLY_SCAN, hourly
 
 
 @query("SELECT o_orderstatus, median(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, median(o_totalprice) FILTER (WHERE o_orderpriority <> '1-URGENT') AS others FROM orders GROUP BY 1")
@@ -205,10 +207,8 @@ def drv11_artifact_floor(t: Tables) -> DataFrame:
 
 @query()
 def drv14_readout_decomposition(t: Tables) -> DataFrame:
-    made = generators.coupled_system(t.spark, 1, 700, 8, 3)
-    config = scan.ScanConfig(degree=2, difference=False, members=2)
-    rows = scan.states(made, config)
-    return scan.readouts(rows, scan.codes(rows, config), config)
+    rows = settled(scan.states(hourly(t), HOURLY_SCAN))
+    return scan.readouts(rows, settled(scan.codes(rows, HOURLY_SCAN)), HOURLY_SCAN)
 
 
 @query()
@@ -278,10 +278,8 @@ def red16_causal_buried(t: Tables) -> DataFrame:
 
 @query()
 def drv12_outflow(t: Tables) -> DataFrame:
-    made = generators.coupled_system(t.spark, 0, 700, 8, 3)
-    config = scan.ScanConfig(degree=2, difference=False, members=1, code=4)
-    rows = scan.states(made, config)
-    return scan.outflows(rows, scan.codes(rows, config), config)
+    rows = settled(scan.states(hourly(t), HOURLY_SCAN))
+    return scan.outflows(rows, settled(scan.codes(rows, HOURLY_SCAN)), HOURLY_SCAN)
 
 
 @query("""WITH p AS (SELECT c_custkey, c_acctbal, radians(c_nationkey * 6.0 - 75 + c_custkey % 5) AS lat, radians(c_custkey * 1.0) AS lon FROM customer), x AS (SELECT c_custkey, c_acctbal, cos(lat) * cos(lon) AS x, cos(lat) * sin(lon) AS y, sin(lat) AS z FROM p),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,22 +126,43 @@ def ts12_surrogate_test(t: Tables) -> DataFrame:
     return manifold.surrogate_test(generators.coupled_logistic(t.spark, [0], 150), draws=19, dimension=2)
 
 
+def hourly(t: Tables) -> DataFrame:
+    """(t, channel, value): the number, mean and largest value of each kind of events in each hour, 0 in hours without any."""
+    hour = F.floor(F.unix_timestamp("ts") / 3600)
+    cells = t.events.where(F.col("ts").isNotNull() & F.col("event_type").isNotNull()).groupBy(hour.alias("t"), "event_type").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    span = cells.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.sequence("a", "b")).alias("t"))
+    grid = span.join(F.broadcast(cells.select("event_type").distinct()))  # kinds of events: a few
+    full = grid.join(cells, ["t", "event_type"], "left").selectExpr("t", "event_type", "stack(3, 'n', n, 'mean', mean, 'most', most) AS (measure, value)")
+    return full.select("t", F.concat_ws(":", "event_type", "measure").alias("channel"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+#: What the scan's queries share.
+HOURLY_SCAN = scan.ScanConfig(degree=2, ghosts=12, steps=20, code=4)
+
+
 @query()
 def drv_scan(t: Tables) -> DataFrame:
-    made = generators.coupled_system(t.spark, 0, 900, 12, 4)
-    return scan.scan(made, scan.ScanConfig(degree=2, ghosts=12, difference=False))[0]
+    return scan.scan(hourly(t), HOURLY_SCAN)[0]
 
 
 @query()
 def drv08_gates(t: Tables) -> DataFrame:
-    made = generators.coupled_system(t.spark, 0, 900, 12, 4)
-    return scan.scan(made, scan.ScanConfig(degree=2, ghosts=12, difference=False))[2]
+    return scan.scan(hourly(t), HOURLY_SCAN)[2]
 
 
 @query()
 def drv10_threshold_rules(t: Tables) -> DataFrame:
-    made = generators.coupled_system(t.spark, 0, 900, 12, 4)
-    return scan.threshold_rules(scan.scan(made, scan.ScanConfig(degree=2, ghosts=12, difference=False))[1])
+    return scan.threshold_rules(scan.scan(hourly(t), HOURLY_SCAN)[1])
+
+
+@query()
+def drv13_membership(t: Tables) -> DataFrame:
+    return scan.membership(hourly(t), replace(HOURLY_SCAN, fill="uniform"))
+
+
+@query()
+def drv15_binary_scan(t: Tables) -> DataFrame:
+    return scan.scan(hourly(t), replace(HOURLY_SCAN, binary=True))[0]
 
 
 @query()
