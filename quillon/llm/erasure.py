@@ -191,6 +191,7 @@ def erase_clients(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_
 
     buyer, sale = free_name("buyer", sale_lines), free_name("of_sale", sale_lines)
     buyers = sales.where(F.col("sale_id").isNotNull()).groupBy(F.col("sale_id").alias(sale)).agg(F.min("client_id").alias(buyer))
+    buyers = stored(buyers, "buyers")  # so that both sides of the join are plain exchanges, which adaptive execution can split at a hot sale
     lines = sale_lines.join(buyers, F.col("sale_id") == F.col(sale), "left").select(*[col(c) for c in sale_lines.columns], by_client(buyer).alias(buyer))
     masters = victim_masters(clients, clicks, modulus)
     laid_clients = lay_out("clients", clients, by_client(), "master_id", folder, files)
