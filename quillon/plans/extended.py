@@ -15,7 +15,7 @@ from ..operators import relational as R
 from ..sources import generators
 from ..storage import settled
 from .catalogue import Tables, query
-from .series import HOURLY_SCAN, hourly
+from .series import HOURLY_SCAN, hourly, paired_hours
 
 
 @query("SELECT o_orderstatus, median(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, median(o_totalprice) FILTER (WHERE o_orderpriority <> '1-URGENT') AS others FROM orders GROUP BY 1")
@@ -180,7 +180,7 @@ def reg07_neighbour_regression(t: Tables) -> DataFrame:
 
 @query()
 def ts09_optimal_dimension(t: Tables) -> DataFrame:
-    made = generators.coupled_logistic(t.spark, [0, 1], 200)
+    made = paired_hours(t)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"system": frame["system"].iloc[:1], "dimension": [manifold.optimal_dimension(frame.sort_values("t")["x"].to_numpy())]})
@@ -311,12 +311,12 @@ def red23_energy_ablation(t: Tables) -> DataFrame:
 
 @query()
 def ts28_lagged_partial_correlation(t: Tables) -> DataFrame:
-    made = generators.coupled_system(t.spark, 0, 600, 5, 2)
+    made = hourly(t).where(F.col("channel").endswith(":n"))
     w = Window.partitionBy("channel").orderBy("t")
     both = made.select("t", "channel", "value", F.lag("value").over(w).alias("before"))
-    names = [f"c{j:04d}" for j in range(5)]
-    wide = both.groupBy("t").agg(*(F.max(F.when(F.col("channel") == c, F.col(v))).alias(f"{c}_{v}") for c in names for v in ("value", "before")))
-    columns = [f"{c}_{v}" for v in ("value", "before") for c in names]
+    names = sorted(r[0] for r in made.select("channel").distinct().collect())  # a channel for each kind of events
+    wide = both.groupBy("t").agg(*(F.max(F.when(F.col("channel") == c, F.col(v))).alias(f"v{i}_{v}") for i, c in enumerate(names) for v in ("value", "before")))
+    columns = [f"v{i}_{v}" for v in ("value", "before") for i in range(len(names))]
     _, _, cov = redundancy.moments(wide, columns)
     p = learning.partial_correlations(cov)
-    return t.spark.createDataFrame([(a, b, float(abs(p[i, 5 + j]))) for i, b in enumerate(names) for j, a in enumerate(names) if i != j], "cause string, effect string, strength double")
+    return t.spark.createDataFrame([(a, b, float(abs(p[i, len(names) + j]))) for i, b in enumerate(names) for j, a in enumerate(names) if i != j], "cause string, effect string, strength double")

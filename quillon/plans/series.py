@@ -109,31 +109,36 @@ def sta35_autocorrelation(t: Tables) -> DataFrame:
     return series.autocorrelation(t.events, ["user_id"], ["ts", "event_id"], "value", 2).select("user_id", F.round("mean_abs_acf", 6).alias("mean_abs_acf"))
 
 
+def hourly(t: Tables) -> DataFrame:
+    """(t, channel, value): the number, mean and largest value of each kind of events in each hour, 0 in hours without any."""
+    hour = F.floor(F.unix_timestamp("ts") / 3600)
+    cells = t.events.where(F.col("ts").isNotNull() & F.col("event_type").isNotNull()).groupBy(hour.alias("t"), "event_type").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    span = cells.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.sequence("a", "b")).alias("t"))
+    grid = span.join(F.broadcast(cells.select("event_type").distinct()))  # kinds of events: a few
+    full = grid.join(cells, ["t", "event_type"], "left").selectExpr("t", "event_type", "stack(3, 'n', n, 'mean', mean, 'most', most) AS (measure, value)")
+    return full.select("t", F.concat_ws(":", "event_type", "measure").alias("channel"), F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def paired_hours(t: Tables) -> DataFrame:
+    """(system, t, x, y): for each kind of events the hourly numbers and means."""
+    kind = F.split("channel", ":")
+    wide = hourly(t).where(kind[1] != "most").groupBy(kind[0].alias("system"), "t")
+    return wide.agg(F.max(F.when(kind[1] == "n", F.col("value"))).alias("x"), F.max(F.when(kind[1] == "mean", F.col("value"))).alias("y"))
+
+
 @query()
 def ts06_cross_mapping(t: Tables) -> DataFrame:
-    made = generators.coupled_logistic(t.spark, [0, 1], 200)
-    return manifold.convergence(manifold.convergent_cross_mapping(made, 2, replicates=4, sizes=[20, 60, 199]))
+    return manifold.convergence(manifold.convergent_cross_mapping(paired_hours(t), 2, replicates=4, radius=2))
 
 
 @query()
 def ts08_dominant_direction(t: Tables) -> DataFrame:
-    made = generators.coupled_logistic(t.spark, [0, 1], 200)
-    return manifold.dominant_direction(manifold.convergence(manifold.convergent_cross_mapping(made, 2, replicates=4, sizes=[20, 60, 199])))
+    return manifold.dominant_direction(manifold.convergence(manifold.convergent_cross_mapping(paired_hours(t), 2, replicates=4, radius=2)))
 
 
 @query()
 def ts12_surrogate_test(t: Tables) -> DataFrame:
-    return manifold.surrogate_test(generators.coupled_logistic(t.spark, [0], 150), draws=19, dimension=2)
-
-
-def hourly(t: Tables) -> DataFrame:
-    """(t, channel, value): the number, mean and largest value of each kind of events in each hour, 0 in hours without any."""
-    hour = F.floor(F.unix_timestamp("ts") / 3600)
-    cells = t.events.where(F.col("ts").isNotNull() & F.col("event_type").isNotNull()).groupBy(hour.alias("t"), "event_type").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
-    span = cells.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.sequence("a", "b")).alias("t"))
-    grid = span.join(F.broadcast(cells.select("event_type").distinct()))  # kinds of events: a few
-    full = grid.join(cells, ["t", "event_type"], "left").selectExpr("t", "event_type", "stack(3, 'n', n, 'mean', mean, 'most', most) AS (measure, value)")
-    return full.select("t", F.concat_ws(":", "event_type", "measure").alias("channel"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    return manifold.surrogate_test(paired_hours(t), draws=19, dimension=2)
 
 
 #: What the scan's queries share.
@@ -167,7 +172,8 @@ def drv15_binary_scan(t: Tables) -> DataFrame:
 
 @query()
 def cau01_anm_orientation(t: Tables) -> DataFrame:
-    return causal.anm_orient(generators.noisy_pairs(t.spark, 600))
+    pairs = paired_hours(t).select(F.col("system").alias("pair"), "x", "y")
+    return causal.anm_orient(pairs)
 
 
 @query()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, knn
+from ..operators import calibration, gains, knn, scan
 from .catalogue import Tables, query
-from .series import hourly
+from .series import HOURLY_SCAN, hourly, paired_hours
 
 _REPLICATES = 6
 _CDF = ", ".join(map(str, calibration.POISSON))
@@ -63,13 +63,6 @@ n AS (SELECT p.system, p.t, q.t AS neighbour, round(sqrt(pow(p.state[1] - q.stat
 k AS (SELECT *, row_number() OVER (PARTITION BY system, t ORDER BY distance, neighbour) AS rank FROM n QUALIFY rank <= 4)"""
 
 
-def paired_hours(t: Tables) -> DataFrame:
-    """(system, t, x, y): a system for each kind of events."""
-    kind = F.split("channel", ":")
-    wide = hourly(t).where(kind[1] != "most").groupBy(kind[0].alias("system"), "t")
-    return wide.agg(F.max(F.when(kind[1] == "n", F.col("value"))).alias("x"), F.max(F.when(kind[1] == "mean", F.col("value"))).alias("y"))
-
-
 @query(f"{_HOURS}, b AS (SELECT system, t, x AS v FROM h), {_NEAR} SELECT system, t, rank::INT AS rank, neighbour, distance FROM k")
 def join13_neighbours(t: Tables) -> DataFrame:
     return knn.knn_join(knn.delays(paired_hours(t), 3, value="x"), 4, 24)
@@ -82,3 +75,8 @@ f AS (SELECT z.system, z.t, sum(weight * target) / sum(weight) AS predicted, cou
 SELECT split_part(f.system, ':', 1) AS system, split_part(f.system, ':', 2) AS cause, CASE split_part(f.system, ':', 2) WHEN 'x' THEN 'y' ELSE 'x' END AS effect, count(*) AS n, round(corr(predicted, target), 6) AS rho FROM f JOIN b ON b.system = f.system AND b.t = f.t WHERE n = 4 GROUP BY f.system""")
 def ts03_cross_map_skill(t: Tables) -> DataFrame:
     return knn.cross_map_skill(paired_hours(t), 3, radius=24).withColumn("rho", F.round("rho", 6))
+
+
+@query()
+def ts27_gain_matrix(t: Tables) -> DataFrame:
+    return gains.gain_matrix(scan.states(hourly(t), HOURLY_SCAN))
