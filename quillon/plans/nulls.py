@@ -44,8 +44,9 @@ def _percentiles(t: Tables) -> DataFrame:
 @query(f"""WITH {_POOL}, o AS (SELECT cohort, value, row_number() OVER (PARTITION BY cohort ORDER BY value, id) - 1 AS place, count(*) OVER (PARTITION BY cohort) AS size FROM v),
 n AS (SELECT item, cohort, count(*) AS n, avg(value) AS mean FROM v GROUP BY 1, 2), z AS (SELECT DISTINCT cohort, size FROM o),
 b AS (SELECT item, max(mean) FILTER (WHERE cohort = 1) - max(mean) FILTER (WHERE cohort = 0) AS delta FROM n GROUP BY 1),
-d AS (SELECT item, cohort, draw, unnest(range(n)) AS i FROM n, range(10) AS r(draw)),
-k AS (SELECT d.item, d.draw, avg(o.value) FILTER (WHERE d.cohort = 1) - avg(o.value) FILTER (WHERE d.cohort = 0) AS x FROM d JOIN z ON z.cohort = d.cohort JOIN o ON o.cohort = d.cohort AND o.place = ('0x' || left(md5(d.draw || ':' || d.item || ':' || d.cohort || ':' || d.i), 8))::BIGINT % z.size GROUP BY 1, 2)
+i AS (SELECT item, cohort, draw, unnest(range(n)) AS i FROM n, range(10) AS r(draw)),
+d AS (SELECT item, cohort, draw, ('0x' || left(md5(draw || ':' || item || ':' || cohort || ':' || i), 8))::BIGINT % size AS place FROM i JOIN z USING (cohort)),
+k AS (SELECT item, draw, avg(value) FILTER (WHERE cohort = 1) - avg(value) FILTER (WHERE cohort = 0) AS x FROM d JOIN o USING (cohort, place) GROUP BY 1, 2)
 SELECT k.item, round(delta, 9) AS delta, round(avg(x), 9) AS null_mean, avg(CASE WHEN delta < 0 THEN x <= delta ELSE x >= delta END::INT) AS p_identity FROM k JOIN b ON b.item = k.item GROUP BY k.item, delta""")
 def sta21_pool_null(t: Tables) -> DataFrame:
     out = information.pool_null(_percentiles(t), 10)
