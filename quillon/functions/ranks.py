@@ -29,22 +29,28 @@ def pct_rank(partition: list[str], value: str) -> Column:
     return average_rank(partition, value) / F.count(F.lit(1)).over(Window.partitionBy(*partition))
 
 
-def running_counts(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False, per_bucket: int = 1 << 16) -> DataFrame:
+def running_counts(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False, per_bucket: int = 1 << 16, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each distinct value: sums of columns over it, and `<name>_before`, the sums over all smaller (or larger) values.
 
-    The order is global, but no task sees all values: values are summed first, parted at approximate quantiles, cumulated inside a part,
-    and shifted by the sums of earlier parts (one row each).
+    The order is global, or that of each group of the `by` columns (rows with a null there are left out), but no task sees all values: values
+    are summed first, parted at approximate quantiles, cumulated inside a part, and shifted by the sums of earlier parts (one row each).
     """
-    grouped = df.where(F.col(value).isNotNull()).groupBy(value).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    present = [F.col(c).isNotNull() for c in (value, *by)]
+    for there in present:
+        df = df.where(there)
+    grouped = df.groupBy(*by, value).agg(*(F.sum(c).alias(k) for k, c in sums.items()))
     parts = grouped.count() // per_bucket + 1
     edges = sorted(set(grouped.approxQuantile(value, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
     part = sum((F.when(F.col(value) >= e, 1).otherwise(0) for e in edges), F.lit(0)) * (-1 if descending else 1)
     grouped = grouped.withColumn("_part", part)
     order = F.desc(value) if descending else F.asc(value)
-    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = grouped.groupBy("_part").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
-    earlier = totals.alias("a").join(totals.select(F.col("_part").alias("_other"), *(F.col(f"_{k}").alias(f"_o{k}") for k in sums)), F.col("_other") < F.col("_part"), "left")
-    shift = earlier.groupBy("_part").agg(*(F.coalesce(F.sum(f"_o{k}"), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = grouped.groupBy(*by, "_part").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
+    others = totals.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_other"), *(F.col(f"_{k}").alias(f"_o{k}") for k in sums))
+    before = F.col("_other") < F.col("_part")
+    for i, c in enumerate(by):
+        before = before & (F.col(f"_by{i}") == F.col(c))
+    shift = totals.join(others, before, "left").groupBy(*by, "_part").agg(*(F.coalesce(F.sum(f"_o{k}"), F.lit(0)).alias(f"_{k}") for k in sums))
     cumulated = grouped.select("*", *(F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"{k}_before") for k in sums))
-    joined = cumulated.join(F.broadcast(shift), "_part")
-    return joined.select(value, *sums, *((F.col(f"{k}_before") + F.col(f"_{k}")).alias(f"{k}_before") for k in sums))
+    joined = cumulated.join(shift if by else F.broadcast(shift), [*by, "_part"])
+    return joined.select(*by, value, *sums, *((F.col(f"{k}_before") + F.col(f"_{k}")).alias(f"{k}_before") for k in sums))

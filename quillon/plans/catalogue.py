@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import analytics, extended, nulls, relational, series, states  # noqa: F401
+    from . import analytics, conditions, extended, nulls, relational, series, states  # noqa: F401
 
 
 def queries() -> dict:
