@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 from statistics import NormalDist
 
@@ -100,20 +101,35 @@ def rule_of_three(n: Column) -> Column:
     return 3.0 / F.greatest(n, F.lit(1))
 
 
-@F.pandas_udf(DoubleType())
-def hypergeometric_sf(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
-    """P(X >= k) of marked items among those drawn."""
+def _upper_tail(k: int, low: int, high: int, mean: float, spread: float, ratio: Callable[[np.ndarray], np.ndarray]) -> float:
+    """P(X >= k) on low..high where ratio(i) is the log of P(i + 1) / P(i).
 
-    def tail(k, n, m, d):
-        return sum(math.comb(m, i) * math.comb(n - m, d - i) for i in range(max(k, d - n + m, 0), min(m, d) + 1)) / math.comb(n, d)
+    Only values within 60 deviations and 2000 of the mean are visited: by Bernstein's bound all others together are under 1e-300.
+    """
+    if k <= low:
+        return 1.0
+    reach = 60 * spread + 2000
+    a, b = max(low, math.floor(mean - reach)), min(high, math.ceil(mean + reach))
+    logs = np.concatenate([[0.0], np.cumsum(ratio(np.arange(a, b, dtype=float)))])
+    chances = np.exp(logs - logs.max())
+    return float(chances[max(k - a, 0) :].sum() / chances.sum())
 
-    return pd.Series([float(tail(*map(int, x))) for x in zip(k, population, marked, drawn)])
+
+def hypergeometric_tail(k: int, n: int, m: int, d: int) -> float:
+    spread = math.sqrt(d * m / n * (n - m) / n * (n - d) / max(n - 1, 1)) if n else 0.0
+    return _upper_tail(k, max(0, d - n + m), min(m, d), d * m / n if n else 0.0, spread, lambda i: np.log((m - i) * (d - i)) - np.log((i + 1) * (n - m - d + i + 1)))
+
+
+@F.pandas_udf(DoubleType())
+def hypergeometric_sf(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
+    """P(X >= k) of marked items among those drawn; the work grows with the distribution's width, the root of the numbers."""
+    return pd.Series([hypergeometric_tail(*map(int, x)) for x in zip(k, population, marked, drawn)], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
 def sign_test(wins: pd.Series, n: pd.Series) -> pd.Series:
     """One-sided binomial P(X >= wins) at one half."""
-    return pd.Series([float(sum(math.comb(int(m), i) for i in range(int(w), int(m) + 1)) / 2 ** int(m)) for w, m in zip(wins, n)])
+    return pd.Series([_upper_tail(int(w), 0, int(m), m / 2, math.sqrt(m) / 2, lambda i, m=m: np.log(m - i) - np.log(i + 1)) for w, m in zip(wins, n)], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
@@ -147,33 +163,74 @@ def mann_whitney(df: DataFrame, value: str, positive: Column) -> DataFrame:
 EXACT_DIFFERENCES = 2000
 
 
+def _enumerated(ranks: np.ndarray, w: int) -> float:
+    """Two-sided p of a sum w of positive (doubled) ranks over all signs. Chances of the sums are halved at each rank; those under 1e-308 become 0."""
+    ways, far = np.zeros(int(ranks.sum()) + 1), 0
+    ways[0] = 1
+    for r in np.sort(ranks):
+        ways[r : far + r + 1] += ways[: far + 1].copy()
+        far += r
+        ways[: far + 1] /= 2
+    return float(min(1.0, 2 * min(ways[: w + 1].sum(), ways[w:].sum())))
+
+
+def signed_rank_p(differences: np.ndarray) -> float:
+    """Two-sided signed-rank p of paired differences; see signed_rank."""
+    d = np.array([x for x in differences if x], float)
+    if not len(d):
+        return 1.0
+    _, place, count = np.unique(np.abs(d), return_inverse=True, return_counts=True)
+    ranks = (2 * np.cumsum(count) - count + 1)[place]
+    if len(ranks) > EXACT_DIFFERENCES:
+        off = abs(ranks[d > 0].sum() - ranks.sum() / 2) - np.gcd.reduce(ranks) / 2
+        return math.erfc(max(off, 0.0) / math.sqrt((ranks.astype(float) ** 2).sum() / 4) / math.sqrt(2))
+    return _enumerated(ranks, ranks[d > 0].sum())
+
+
 @F.pandas_udf(DoubleType())
 def wilcoxon_exact(differences: pd.Series) -> pd.Series:
-    """Two-sided signed-rank p-value of arrays of paired differences, by the exact distribution of the (mid-)rank sum.
+    """Two-sided signed-rank p-value of arrays of paired differences; all of them count."""
+    return pd.Series([signed_rank_p(d) for d in differences])
 
-    All differences count; above EXACT_DIFFERENCES the sum's normal approximation with its variance under ties takes the place of the enumeration.
-    """
 
-    def p(d):
-        d = np.array([x for x in d if x], float)
-        if not len(d):
-            return 1.0
-        _, place, count = np.unique(np.abs(d), return_inverse=True, return_counts=True)
-        ranks = (2 * np.cumsum(count) - count + 1)[place]
-        if len(ranks) > EXACT_DIFFERENCES:
-            off = abs(ranks[d > 0].sum() - ranks.sum() / 2) - np.gcd.reduce(ranks) / 2
-            return math.erfc(max(off, 0.0) / math.sqrt((ranks.astype(float) ** 2).sum() / 4) / math.sqrt(2))
-        # Chances of the rank sums, halved at each difference; those under 1e-308 become 0.
-        ways, far = np.zeros(int(ranks.sum()) + 1), 0
-        ways[0] = 1
-        for r in np.sort(ranks):
-            ways[r : far + r + 1] += ways[: far + 1].copy()
-            far += r
-            ways[: far + 1] /= 2
-        w = ranks[d > 0].sum()
-        return float(min(1.0, 2 * min(ways[: w + 1].sum(), ways[w:].sum())))
-
-    return pd.Series([p(d) for d in differences])
+@F.pandas_udf(DoubleType())
+def _enumerated_p(runs: pd.Series) -> pd.Series:
+    """p of arrays of (doubled rank, rows, rows above 0)."""
+
+    def p(rows):
+        r, n, up = (np.array([x[k] for x in rows], int) for k in ("r", "n", "up"))
+        return _enumerated(np.repeat(r, n), int(r @ up))
+
+    return pd.Series([None if rows is None else p(rows) for rows in runs], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _both_tails(z: pd.Series) -> pd.Series:
+    return pd.Series([None if x != x else math.erfc(x / math.sqrt(2)) for x in z], dtype="float64")
+
+
+def signed_rank(df: DataFrame, by: str, value: str, exact: int = EXACT_DIFFERENCES) -> DataFrame:
+    """(by, n, p): two-sided signed-rank test of each group's paired differences, zeros left out; p is 1 where none is left.
+
+    Mid-ranks come from running counts, so no task ranks a whole group. Up to `exact` differences p is that of the rank sum's distribution over all
+    signs; a larger group's sum is compared with the normal distribution of its mean and its variance under ties, half a step of the
+    sums nearer. Nulls and NaN take no part, nor does a null group.
+    """
+    clean = df.select(F.col(by).alias("_g"), F.col(value).cast("double").alias("_d")).where(F.col("_g").isNotNull() & F.col("_d").isNotNull() & ~F.isnan("_d"))
+    sums = {"_n": F.lit(1), "_up": (F.col("_d") > 0).cast("int")}
+    runs = running_counts(clean.where("_d <> 0").withColumn("_a", F.abs("_d")), "_a", sums, by=("_g",))
+    ranked = runs.select("_g", (2 * F.col("_n_before") + F.col("_n") + 1).alias("r"), F.col("_n").alias("n"), F.col("_up").alias("up"))
+    size = ranked.groupBy("_g").agg(F.sum("n").alias("_size"))
+    few = ranked.join(size, "_g").where(F.col("_size") <= exact)
+    r, n = F.col("r").cast("double"), F.col("n")
+    totals = ranked.groupBy("_g").agg(F.sum("n").alias("n"), F.sum(r * F.col("up")).alias("w"), F.sum(r * n).alias("all"), F.sum(r * r * n).alias("squares"), F.bit_or("r").alias("bits"), F.min("r").alias("low"), F.max("r").alias("high"))
+    bits = F.col("bits")
+    step = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(bits.bitwiseAND(-bits))  # ranks are multiples of it
+    z = F.greatest(F.abs(F.col("w") - F.col("all") / 2) - step / 2, F.lit(0.0)) / F.sqrt(F.col("squares") / 4)
+    counted = few.groupBy("_g").agg(F.collect_list(F.struct("r", "n", "up")).alias("_few"))  # at most `exact` runs
+    joined = clean.select("_g").distinct().join(totals, "_g", "left").join(counted, "_g", "left")
+    p = F.coalesce(_enumerated_p("_few"), F.when(F.col("n") > 0, _both_tails(z)), F.lit(1.0))
+    return joined.select(F.col("_g").alias(by), F.coalesce("n", F.lit(0)).alias("n"), p.alias("p"))
 
 
 def cohort_splits(members: list, size: int) -> list[tuple[int, list]]:

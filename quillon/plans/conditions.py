@@ -1,4 +1,4 @@
-"""Queries of predictive information and of retrieval with some of the sources visible."""
+"""Queries of predictive information, of retrieval with some of the sources visible, and of gridded arrays."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import knn, retrieval, vinformation
-from ..storage import settled
+from ..sources import grids
+from ..storage import new_folder, settled
 from .catalogue import Tables, query
-from .series import paired_hours
+from .series import hourly, paired_hours
 
 _TOLD = ["l_linestatus", "tens", "l_discount", "l_linenumber"]
 _BITS = ", ".join(f"({1 << j}, '{c}')" for j, c in enumerate(_TOLD))
@@ -76,3 +77,19 @@ def ts24_energy_against_error(t: Tables) -> DataFrame:
     met = settled(met.select("kernel", "beta", *(F.round(c, 9).alias(c) for c in ("energy", "nearest", "error"))))
     each = [retrieval.rank_correlation(met, m, "error", ("kernel", "beta")).withColumn("measure", F.lit(m)) for m in ("energy", "nearest")]
     return each[0].unionByName(each[1])
+
+
+@query()
+def src16_chunked_grid(t: Tables) -> DataFrame:
+    """The last week of all hourly channels (t, channel, value), read from chunks of an array that holds their whole history."""
+    rows = settled(hourly(t))
+    names = sorted(r[0] for r in rows.select("channel").distinct().collect())  # kinds of events: a few
+    if not names:
+        return rows.select("t", "channel", "value")
+    places = t.spark.createDataFrame(list(enumerate(names)), "place long, channel string")
+    first, last = rows.agg(F.min("t"), F.max("t")).first()
+    path, hours = new_folder(t.spark, "grid"), last - first + 1
+    cells = rows.join(F.broadcast(places), "channel").select((F.col("t") - first).alias("hour"), "place", "value")
+    grids.write_zarr(cells, path, ["hour", "place"], [hours, len(names)], [168, 8])
+    week = grids.read_zarr(t.spark, path).where(F.col("hour") >= hours - 168)
+    return week.join(F.broadcast(places), "place").select((F.col("hour") + first).alias("t"), "channel", "value")

@@ -124,7 +124,7 @@ def sta13_hsic(t: Tables) -> DataFrame:
 def sta18_wilcoxon(t: Tables) -> DataFrame:
     means = t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
     deltas = R.paired_delta(means, ["user_id"], "event_type", "view", "v")
-    return deltas.groupBy("event_type").agg(F.collect_list("delta").alias("d")).select("event_type", stats.wilcoxon_exact("d").alias("p"))
+    return stats.signed_rank(deltas, "event_type", "delta").select("event_type", "p")
 
 
 @query()
