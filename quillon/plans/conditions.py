@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import knn, retrieval, vinformation
+from ..operators import knn, parameters, retrieval, vinformation
 from ..sources import grids
 from ..storage import new_folder, settled
 from .catalogue import Tables, query
@@ -93,3 +93,11 @@ def src16_chunked_grid(t: Tables) -> DataFrame:
     grids.write_zarr(cells, path, ["hour", "place"], [hours, len(names)], [168, 8])
     week = grids.read_zarr(t.spark, path).where(F.col("hour") >= hours - 168)
     return week.join(F.broadcast(places), "place").select((F.col("hour") + first).alias("t"), "channel", "value")
+
+
+@query()
+def drv16_parameter_grid(t: Tables) -> DataFrame:
+    """How far hourly channels foretell themselves, over a grid of delays, differencing and penalties."""
+    rows = settled(hourly(t))
+    cells = parameters.crossed({"difference": [False, True], "dimension": [1, 3], "ridge": [1.0, 100.0]})
+    return parameters.run_grid(t.spark, cells, lambda c: parameters.predictability(rows, **c), new_folder(t.spark, "grid"), 4)
