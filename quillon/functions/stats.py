@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .ranks import running_counts
+from .ranks import first_by_hash, running_counts
 
 
 def correlation(x: str, y: str) -> Column:
@@ -97,6 +97,22 @@ def permutation_p(observed: Column, at_least: Column, draws: Column) -> Column:
     return F.when(observed.isNull() | F.isnan(observed), 1.0).otherwise((1 + at_least) / (draws + 1))
 
 
+def permutation_test(df: DataFrame, value: str, positive: Column, key: str, draws: int) -> DataFrame:
+    """(p) of the difference of means, positives' less others', against `draws` relabellings.
+
+    Draw b calls those rows positive that come first by md5 of "b:key", as many as there are positives. The cut is a hash (see first_by_hash), so the copies
+    of the rows are neither sorted nor shuffled; each draw is one conditional aggregate. Rows whose label is null are left out.
+    """
+    x = df.where(positive.isNotNull()).select(F.col(value).alias("_s"), positive.alias("_p"), F.col(key).alias("_key"))
+    gap = lambda side: F.avg(F.when(side, F.col("_s"))) - F.avg(F.when(~side, F.col("_s")))
+    copies = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_b"))
+    hashed = F.md5(F.concat_ws(":", "_b", "_key").cast("binary"))
+    relabelled = first_by_hash(copies, ["_b"], hashed, "_key", F.col("k"), {"k": F.col("_p").cast("long")}, "_first")
+    null = relabelled.groupBy("_b").agg(gap(F.col("_first")).alias("d"))
+    counted = null.join(F.broadcast(x.agg(gap(F.col("_p")).alias("seen")))).agg(F.first("seen").alias("seen"), F.count_if(F.col("d") >= F.col("seen")).alias("k"), F.count(F.lit(1)).alias("n"))
+    return counted.select(permutation_p(F.col("seen"), F.col("k"), F.col("n")).alias("p"))
+
+
 def rule_of_three(n: Column) -> Column:
     return 3.0 / F.greatest(n, F.lit(1))
 

@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import running_counts
+from ..functions.ranks import running_counts, with_groups
 from ..functions.scalar import micros
 
 
@@ -118,9 +118,9 @@ def confusion(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
 
 def shares(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """`share` of each row in its group's total; equal shares where the total is not positive."""
-    w = Window.partitionBy(*by)
-    total, n = F.sum(value).over(w), F.count(F.lit(1)).over(w)
-    return df.withColumn("share", F.when(total > 0, F.col(value) / total).otherwise(1 / n))
+    grouped = with_groups(df, by, _total=F.sum(value), _n=F.count(F.lit(1)))
+    share = F.when(F.col("_total") > 0, F.col(value) / F.col("_total")).otherwise(1 / F.col("_n"))
+    return grouped.withColumn("share", share).drop("_total", "_n")
 
 
 def percentile_against(df: DataFrame, negatives: DataFrame, value: str, key: str) -> DataFrame:
@@ -133,8 +133,9 @@ def percentile_against(df: DataFrame, negatives: DataFrame, value: str, key: str
 
 def zscore(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """`z` of each row in its group (sample spread); 0 where the group doesn't vary."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("z", F.coalesce(F.try_divide(F.col(value) - F.avg(value).over(w), F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))), F.lit(0.0)))
+    grouped = with_groups(df, by, _mean=F.avg(value), _spread=F.stddev_samp(value))
+    z = F.try_divide(F.col(value) - F.col("_mean"), F.nullif(F.col("_spread"), F.lit(0.0)))
+    return grouped.withColumn("z", F.coalesce(z, F.lit(0.0))).drop("_mean", "_spread")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

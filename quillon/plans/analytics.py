@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalar, stats
+from ..functions import ranks, scalar, stats
 from ..operators import graph, importance, learning, pairs, redundancy
 from ..operators import relational as R
 from ..storage import settled
@@ -68,20 +68,12 @@ def sta11_sample_without_replacement(t: Tables) -> DataFrame:
     return R.top_per_group(t.events, ["user_id"], [order.asc(), F.asc("event_id")], 10).select("event_id", F.col("rank").alias("r"))
 
 
-@query(f"""WITH x AS ({_SCORED}), obs AS (SELECT avg(s) FILTER (WHERE p) - avg(s) FILTER (WHERE NOT p) AS d FROM x),
-o AS (SELECT b, s, p, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS i, row_number() OVER (PARTITION BY b ORDER BY md5(b || ':' || doc_id), doc_id) AS j FROM x, range(30) AS r(b)),
-n AS (SELECT a.b, avg(a.s) FILTER (WHERE c.p) - avg(a.s) FILTER (WHERE NOT c.p) AS d FROM o a JOIN o c ON a.b = c.b AND a.i = c.j GROUP BY 1)
+@query(f"""WITH x AS ({_SCORED}), obs AS (SELECT avg(s) FILTER (WHERE p) - avg(s) FILTER (WHERE NOT p) AS d, count(*) FILTER (WHERE p) AS k FROM x),
+o AS (SELECT b, s, row_number() OVER (PARTITION BY b ORDER BY md5(b || ':' || doc_id), doc_id) AS i FROM x, range(30) AS r(b)),
+n AS (SELECT b, avg(s) FILTER (WHERE i <= k) - avg(s) FILTER (WHERE i > k) AS d FROM o, obs GROUP BY 1)
 SELECT (1 + count(*) FILTER (WHERE n.d >= obs.d)) / (count(*) + 1) AS p FROM n, obs""")
 def sta12_permutation_p(t: Tables) -> DataFrame:
-    x = settled(_scored(t))
-    gap = F.avg(F.when(F.col("p"), F.col("s"))) - F.avg(F.when(~F.col("p"), F.col("s")))
-    draws = x.join(F.broadcast(t.spark.range(30).select(F.col("id").alias("b"))))
-    hashed = F.md5(F.concat_ws(":", "b", "doc_id").cast("binary"))
-    natural = draws.select("b", "s", F.row_number().over(Window.partitionBy("b").orderBy("doc_id")).alias("i"))
-    mixed = draws.select("b", "p", F.row_number().over(Window.partitionBy("b").orderBy(hashed, "doc_id")).alias("i"))
-    null = natural.join(mixed, ["b", "i"]).groupBy("b").agg(gap.alias("d"))
-    counted = null.join(F.broadcast(x.agg(gap.alias("seen")))).agg(F.first("seen").alias("seen"), F.count_if(F.col("d") >= F.col("seen")).alias("k"), F.count(F.lit(1)).alias("n"))
-    return counted.select(stats.permutation_p(F.col("seen"), F.col("k"), F.col("n")).alias("p"))
+    return stats.permutation_test(settled(_scored(t)), "s", F.col("p"), "doc_id", 30)
 
 
 @query(f"""WITH x AS ({_SCORED}), r AS (SELECT p, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS k FROM x), c AS (SELECT count(*) FILTER (WHERE p)::DOUBLE AS n1, count(*) FILTER (WHERE NOT p)::DOUBLE AS n0, sum(k) FILTER (WHERE p) AS rs FROM r)
@@ -358,8 +350,8 @@ def nn08_gate_importance(t: Tables) -> DataFrame:
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5('1:' || event_id), event_id) * 5 <= count(*) OVER (PARTITION BY event_type) * 3 AS train FROM events")
 def prep01_stratified_split(t: Tables) -> DataFrame:
     order = F.md5(F.concat(F.lit("1:"), F.col("event_id").cast("string")).cast("binary"))
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy(order, "event_id"))
-    return t.events.select("event_id", (r * 5 <= F.count(F.lit(1)).over(Window.partitionBy("event_type")) * 3).alias("train"))
+    rows = t.events.select("event_id", "event_type")
+    return ranks.first_by_hash(rows, ["event_type"], order, "event_id", F.floor(F.col("n") * 3 / 5), name="train").select("event_id", "train")
 
 
 @query("SELECT event_id, count(*) OVER () / (5.0 * count(*) OVER (PARTITION BY event_type))::DOUBLE AS weight FROM events")
