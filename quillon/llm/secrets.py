@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-Two first-order Markov chains over printable ASCII are counted from labelled samples (text, random or not); their log
-ratios form one matrix of fixed size. A token of 20 or more identifier characters that no pattern has taken is a secret
-if the sum of its transitions' log-likelihood ratios exceeds `least` and `per_char` times its length. Everything is
-DataFrame functions: a scan of the texts without a shuffle, with the matrix as a scalar subquery.
-
-The default samples are random strings made by hashing numbers (hexadecimal, base64 in three alphabets, upper case) and, as
-ordinary ones, the words seen twice or more in a bounded number of documents (`sample`, first by hash of the id) without their pattern matches,
-plain, upper-case, capitalised and joined. Offsets are code points, ends exclusive. Defined results: a null text is empty; an empty text has no spans;
+Two second-order Markov chains over the 67 characters of identifiers are counted from labelled samples (text, random or not),
+each smoothed by its first-order chain; their log ratios form one array of fixed size. A token of 20 or more such characters that
+no pattern has taken is a secret if the sum of its transitions' log-likelihood ratios exceeds `least` and `per_char` times its length.
+Everything is DataFrame functions: a scan of the texts without a shuffle, with the array as a scalar subquery.
+
+The default samples are random strings made by hashing numbers (base64 in three alphabets, upper and lower case, base32, upper-case hexadecimal)
+and three kinds of ordinary strings: the distinct words seen twice or more in a bounded number of documents (`sample`, first by hash of
+the id) without their pattern matches, alone and joined; names made of words of programming in the usual styles (with _, -, /, capitals,
+dates, numbers); and what looks random by rule (UUIDs, times, long numbers, rules of one character). The thresholds were chosen on
+other strings: see the README for what is found and what is a false alarm, by kind.
+Offsets are code points, ends exclusive. Defined results: a null text is empty; an empty text has no spans;
 repeated rows are scanned each; other columns are dropped; an empty table gives an empty table.
 """
 
@@ -24,7 +27,22 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-_FIRST, _WIDTH = 32, 95
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+WIDTH = len(ALPHABET)
+_CODES = [max(ALPHABET.find(chr(i)), 0) for i in range(128)]
+
+# Words that names in programs are made of.
+WORDS = """
+account action active address admin agent alert array async attribute audit auth backup balance batch block boolean border bottom buffer build button
+byte cache callback cancel category change channel character check child class clean client close cluster code collection color column command commit
+config connection console container content context control cookie copy count create currency current data database debug default delete description
+device directory document domain download element email empty enable encoding entry environment error event example exception execute export
+expression external factory failure feature field file filter flag folder format frame function gateway generate global graph group handler header
+height history image import index input insert instance internal invalid iterator job key label language layout length level library license limit
+listener location lock login manager map match matrix memory message method metric mode model module monitor name network node notification number
+object offset operation option order output owner package parameter parent parse path payment permission pipeline plugin point policy position
+previous primary process profile property provider public query queue range reader record region remote request response result schedule service value
+""".split()
 
 
 _NONE = "CAST(array() AS array<struct<s: bigint, k: int, e: bigint, v: string>>)"
@@ -95,16 +113,18 @@ def digest(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["s"], x["k"], x["e"]))), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def random_samples(spark: SparkSession, count: int = 3000) -> DataFrame:
-    """(text, n) of strings without structure, in the alphabets that keys come in."""
+def random_samples(spark: SparkSession, count: int = 6000) -> DataFrame:
+    """(text) of strings without structure, in the alphabets that keys come in."""
     hashed = spark.range(count).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     wide = F.replace(F.base64(F.unhex("h")), F.lit("="), F.lit(""))
-    kinds = F.array(F.substring("h", 1, 40), wide, F.translate(wide, "+/", "-_"), F.translate(wide, "+/-_", "xY7q"), F.upper(F.translate(wide, "+/", "aZ")))
-    return hashed.select(F.explode(kinds).alias("text"), F.lit(1).cast("long").alias("n"))
+    digits = F.concat(*(F.lpad(F.conv(F.substring("h", i, 15), 16, 32), 12, "0") for i in (1, 16, 31)))
+    base32 = F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    kinds = wide, F.translate(wide, "+/", "-_"), F.translate(wide, "+/", "xY"), F.upper(F.translate(wide, "+/", "QZ")), F.lower(F.translate(wide, "+/", "qz")), F.upper("h"), base32
+    return hashed.select(F.explode(F.array(*kinds)).alias("text"))
 
 
-def ordinary_samples(documents: DataFrame, sample: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, n) of the words seen twice or more in at most `sample` documents, without pattern matches: plain, upper-case, capitalised and joined."""
+def word_samples(documents: DataFrame, sample: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text) of the distinct words seen twice or more in at most `sample` documents, without pattern matches: alone in each case, and joined."""
     rows = documents.where(F.col(text).isNotNull() & F.col(key).isNotNull())
     first = rows.select(key).orderBy(F.xxhash64(key), key).limit(sample).distinct()
     clean = F.col(text)
@@ -112,35 +132,87 @@ def ordinary_samples(documents: DataFrame, sample: int = 2000, key: str = "doc_i
         clean = F.regexp_replace(clean, F.lit(pattern), F.lit(" "))
     words = rows.join(first, key, "left_semi").select(F.explode(F.split(clean, "[^A-Za-z0-9+/_=-]+")).alias("w")).where(F.length("w").between(2, 60))
     w = F.col("w")
-    joined = F.concat_ws("_", w, w, w), F.concat_ws("-", w, w), F.concat_ws("/", w, w), F.concat(F.initcap(w), F.initcap(w))
-    return words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.explode(F.array(w, F.upper(w), F.initcap(w), *joined)).alias("text"), "n")
+    up, title = F.upper(w), F.initcap(w)
+    joined = F.concat_ws("_", w, w, w), F.concat_ws("-", w, w), F.concat_ws("/", w, w), F.concat(title, title), F.concat(w, title), F.concat_ws("_", up, up), F.concat(w, w)
+    return words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.explode(F.array(w, up, title, *joined)).alias("text"))
+
+
+def name_samples(spark: SparkSession, count: int = 6000) -> DataFrame:
+    """(text) of names of two to six of WORDS, drawn by hash, in the usual styles."""
+    rows = spark.range(count)
+    draw = lambda salt, most: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(most)).cast("int")
+    # Filled up as one array, so that words is a column and not an expression repeated in each style.
+    words = F.slice(F.array(*(F.element_at(F.lit(WORDS), draw(j, len(WORDS)) + 1) for j in range(6))), F.lit(1), draw(6, 5) + 2)
+    w = F.col("w")
+    titles = F.array_join(F.transform(w, F.initcap), "")
+    camel = F.concat(w[0], F.array_join(F.transform(F.slice(w, F.lit(2), F.size(w)), F.initcap), ""))
+    day = F.concat(F.lit("/"), F.lpad((draw(7, 12) + 1).cast("string"), 2, "0"), F.lit("/"), F.lpad((draw(8, 28) + 1).cast("string"), 2, "0"), F.lit("/"))
+    dated = F.concat((draw(9, 60) + 1990).cast("string"), day, F.array_join(w, "-"))
+    numbered = F.concat_ws("_", F.array_join(w, "_"), draw(10, 100_000).cast("string"))
+    styles = F.array_join(w, "_"), F.upper(F.array_join(w, "_")), titles, camel, F.array_join(w, "-"), F.concat(F.lit("/"), F.array_join(w, "/")), F.array_join(w, ""), dated, numbered
+    return rows.select("id", words.alias("w")).select(F.explode(F.array(*styles)).alias("text"))
+
+
+def rule_samples(spark: SparkSession, count: int = 3000) -> DataFrame:
+    """(text) of UUIDs, times, long numbers and rules of one character."""
+    h = F.col("h")
+    uuid = F.concat_ws("-", *(F.substring(h, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    at = F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(2_500_000_000)))
+    times = F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss"), F.date_format(at, "yyyyMMdd_HHmmss"), F.date_format(at, "yyyyMMddHHmmssSSSSSS")
+    number = F.substring(F.translate(h, "abcdef", "902846"), 1, 24)
+    line = F.repeat(F.substring(F.lit("=-_/+"), F.pmod("id", F.lit(5)).cast("int") + 1, F.lit(1)), F.pmod(F.xxhash64("id"), F.lit(50)).cast("int") + 10)
+    return spark.range(count).withColumn("h", F.md5(F.col("id").cast("string").cast("binary"))).select(F.explode(F.array(uuid, uuid, *times, number, line)).alias("text"))
+
+
+def ordinary_samples(documents: DataFrame, sample: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text) of ordinary strings: words of the documents, names of programs, and what looks random by rule."""
+    spark = documents.sparkSession
+    return word_samples(documents, sample, key, text).unionByName(name_samples(spark)).unionByName(rule_samples(spark))
 
 
-def _transitions(samples: DataFrame, name: str) -> DataFrame:
-    chars = F.split("text", "")
-    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.struct((F.ascii(a) - _FIRST).alias("a"), (F.ascii(b) - _FIRST).alias("b")))
-    return samples.select(F.explode(pairs).alias("p"), "n").groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum(F.least("n", F.lit(20))).cast("double").alias(name))
+def _grams(samples: DataFrame, size: int, name: str) -> DataFrame:
+    """(i, count) of runs of `size` characters of the alphabet; i is the run read as a number."""
+    runs = samples.where(F.length("text") >= size).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substring("text", i, F.lit(size)))).alias("g"))
+    counts = runs.where(F.regexp_like("g", F.lit("^[A-Za-z0-9+/_=-]+$"))).groupBy("g").agg(F.count("*").cast("double").alias(name))
+    place = sum((F.element_at(F.lit(_CODES), F.ascii(F.substring("g", i + 1, 1)) + 1) * WIDTH ** (size - 1 - i) for i in range(size)), F.lit(0))
+    return counts.select(place.cast("long").alias("i"), name)
 
 
-def train(random: DataFrame, ordinary: DataFrame, smooth: float = 0.5) -> DataFrame:
-    """One row: `model`, the matrix of log ratios P(b|a, random) / P(b|a, ordinary) over printable ASCII, row by row."""
-    spark = random.sparkSession
-    every = spark.range(_WIDTH * _WIDTH).select(F.expr(f"int(id div {_WIDTH})").alias("a"), F.expr(f"int(id % {_WIDTH})").alias("b"))
-    counts = every.join(_transitions(random, "r"), ["a", "b"], "left").join(_transitions(ordinary, "o"), ["a", "b"], "left").na.fill(0.0)
-    sums = counts.groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
-    ratio = F.log((F.col("r") + smooth) / (F.col("ra") + smooth * _WIDTH)) - F.log((F.col("o") + smooth) / (F.col("oa") + smooth * _WIDTH))
-    rows = counts.join(sums, "a").select((F.col("a") * _WIDTH + F.col("b")).alias("i"), ratio.alias("x"))
+def _chain(samples: DataFrame, smooth: float, weight: float, name: str) -> DataFrame:
+    """(i, log probability of the third character after the first two) of every triple."""
+    spark = samples.sparkSession
+    pairs = spark.range(WIDTH**2).withColumnRenamed("id", "i").join(_grams(samples, 2, "n"), "i", "left").na.fill(0.0).withColumn("b", F.expr(f"i div {WIDTH}"))
+    firsts = pairs.groupBy("b").agg(F.sum("n").alias("m"))
+    first = pairs.join(firsts, "b").select(F.col("i").alias("bc"), ((F.col("n") + smooth) / (F.col("m") + smooth * WIDTH)).alias("p"))
+    triples = spark.range(WIDTH**3).withColumnRenamed("id", "i").join(_grams(samples, 3, "n"), "i", "left").na.fill(0.0)
+    triples = triples.withColumn("ab", F.expr(f"i div {WIDTH}")).withColumn("bc", F.expr(f"i % {WIDTH**2}"))
+    seconds = triples.groupBy("ab").agg(F.sum("n").alias("m"))
+    return triples.join(seconds, "ab").join(first, "bc").select("i", F.log((F.col("n") + weight * F.col("p")) / (F.col("m") + weight)).alias(name))
+
+
+def train(random: DataFrame, ordinary: DataFrame, smooth: float = 0.5, weight: float = 8.0) -> DataFrame:
+    """One row: `model`, the log ratios P(c | ab, random) / P(c | ab, ordinary) of all triples of the alphabet in order.
+
+    A chain's first-order probabilities have `smooth` added to each count; they are the prior of its second-order ones, worth `weight` counts.
+    """
+    rows = _chain(random, smooth, weight, "r").join(_chain(ordinary, smooth, weight, "o"), "i").select("i", (F.col("r") - F.col("o")).alias("x"))
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("model"))
 
 
 def log_ratio(token: Column, model: Column) -> Column:
-    chars = F.split(token, "")
-    codes = F.transform(chars, lambda c: F.ascii(c) - _FIRST)
-    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.element_at(model, a * _WIDTH + b + 1))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    """The sum of the model's log ratios over the token's triples; the token has three characters or more, all of the alphabet."""
+    codes = F.transform(F.split(token, ""), lambda c: F.element_at(F.lit(_CODES), F.ascii(c) + 1))
+
+    def total(v: Column) -> Column:
+        n = F.size(v) - 2
+        ends = F.zip_with(F.slice(v, F.lit(2), n), F.slice(v, F.lit(3), n), lambda b, c: b * WIDTH + c + 1)
+        return F.aggregate(F.zip_with(F.slice(v, F.lit(1), n), ends, lambda a, bc: F.element_at(model, a * WIDTH * WIDTH + bc)), F.lit(0.0), lambda s, x: s + x)
+
+    # As an element, so that the codes are computed once.
+    return F.element_at(F.transform(F.array(codes), total), 1)
 
 
-def scan_secrets(documents: DataFrame, random: DataFrame | None = None, ordinary: DataFrame | None = None, least: float = 12.0, per_char: float = 0.5, sample: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(documents: DataFrame, random: DataFrame | None = None, ordinary: DataFrame | None = None, least: float = 24.0, per_char: float = 1.7, sample: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256, spans (digest of all spans) and n_markov of each row."""
     random = random_samples(documents.sparkSession) if random is None else random
     ordinary = ordinary_samples(documents, sample, key, text) if ordinary is None else ordinary
