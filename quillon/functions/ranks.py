@@ -38,8 +38,9 @@ def pct_rank(partition: list[str], value: str) -> Column:
     return average_rank(partition, value) / F.count(F.lit(1)).over(Window.partitionBy(*partition))
 
 
-def running_counts(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False, per_bucket: int = 1 << 16, by: tuple[str, ...] = ()) -> DataFrame:
+def running_counts(df: DataFrame, value: str, sums: dict[str, Column], descending: bool = False, per_bucket: int = 1 << 16, by: tuple[str, ...] = (), following: str | None = None) -> DataFrame:
     """One row for each distinct value: sums of columns over it, and `<name>_before`, the sums over all smaller (or larger) values.
+    A column `following`, if named, holds the next distinct value (null after the last).
 
     The order is global, or that of each group of the `by` columns (rows with a null there are left out), but no task sees all values: values
     are summed first, parted at approximate quantiles, cumulated inside a part, and shifted by the sums of earlier parts (one row each).
@@ -60,11 +61,14 @@ def running_counts(df: DataFrame, value: str, sums: dict[str, Column], descendin
     inside = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     # One row a part: the window over them holds 1 / per_bucket of the distinct values.
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = grouped.groupBy(*by, "_part").agg(*(F.sum(k).alias(f"_{k}") for k in sums))
-    shift = totals.select(*by, "_part", *(F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in sums))
-    cumulated = grouped.select("*", *(F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"{k}_before") for k in sums))
+    start = F.max(value) if descending else F.min(value)
+    totals = grouped.groupBy(*by, "_part").agg(start.alias("_start"), *(F.sum(k).alias(f"_{k}") for k in sums))
+    then = F.lead("_start").over(Window.partitionBy(*by).orderBy("_part"))
+    shift = totals.select(*by, "_part", then.alias("_then"), *(F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in sums))
+    near = F.lead(value).over(Window.partitionBy(*by, "_part").orderBy(order))
+    cumulated = grouped.select("*", *([near.alias("_near")] if following else []), *(F.coalesce(F.sum(k).over(inside), F.lit(0)).alias(f"{k}_before") for k in sums))
     joined = cumulated.join(shift if by or parts > BROADCAST_ROWS else F.broadcast(shift), [*by, "_part"])
-    return joined.select(*by, value, *sums, *((F.col(f"{k}_before") + F.col(f"_{k}")).alias(f"{k}_before") for k in sums))
+    return joined.select(*by, value, *sums, *((F.col(f"{k}_before") + F.col(f"_{k}")).alias(f"{k}_before") for k in sums), *([F.coalesce("_near", "_then").alias(following)] if following else []))
 
 
 def with_groups(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:

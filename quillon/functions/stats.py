@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .ranks import first_by_hash, running_counts
+from ..storage import settled
+from .ranks import first_by_hash, running_counts, with_groups
 
 
 def correlation(x: str, y: str) -> Column:
@@ -83,13 +84,28 @@ def binned_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def wasserstein(df: DataFrame, value: str, side: Column) -> DataFrame:
     """One-dimensional distance between the values of both sides: the integral of the distribution functions' difference."""
-    counts = running_counts(df, value, {"a": side.cast("long"), "b": (~side).cast("long")})
-    parts = counts.select(value, (F.col("a") + F.col("a_before")).alias("a"), (F.col("b") + F.col("b_before")).alias("b"))
-    totals = df.agg(F.count_if(side).alias("na"), F.count_if(~side).alias("nb"))
-    # Neighbouring distinct values; their number is that of the histogram.
-    step = F.lead(value).over(Window.orderBy(value)) - F.col(value)
-    widths = parts.select("a", "b", step.alias("w")).join(F.broadcast(totals))
-    return widths.agg(F.sum(F.abs(F.col("a") / F.col("na") - F.col("b") / F.col("nb")) * F.col("w")).alias("distance"))
+    counts = running_counts(df, value, {"a": side.cast("long"), "b": (~side).cast("long")}, following="_next")
+    totals = counts.agg(F.sum("a").alias("_na"), F.sum("b").alias("_nb"))
+    gap = F.abs((F.col("a") + F.col("a_before")) / F.col("_na") - (F.col("b") + F.col("b_before")) / F.col("_nb"))
+    return counts.join(F.broadcast(totals)).agg(F.sum(gap * (F.col("_next") - F.col(value))).alias("distance"))
+
+
+def bootstrap_interval(df: DataFrame, by: str, value: str, key: str, resamples: int = 2000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(by, n, mean, low, high): percentile interval of a group's mean under resampling with replacement.
+
+    `key` is a number that tells a group's rows apart; rows stand in its order. Draw i of resample b takes the row at the place md5 of "b:group:i" modulo
+    n. Each row makes its own place's draws and draws meet rows by (group, place), so a large group is spread over all tasks; only the resamples' means
+    (`resamples` a group) come together. Rows with a null group, key or value are left out.
+    """
+    rows = settled(df.select(F.col(by).alias("_g"), F.col(key).alias("_k"), F.col(value).alias("_v")).dropna())
+    places = running_counts(rows, "_k", {"_n": F.lit(1).cast("long")}, by=("_g",)).select("_g", "_k", F.col("_n_before").alias("_i"))
+    placed = settled(with_groups(rows.join(places, ["_g", "_k"]), ["_g"], n=F.count(F.lit(1)), mean=F.avg("_v")))
+    draws = placed.select("_g", "n", "mean", "_i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", "_b", "_g", "_i").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
+    drawn = draws.select("_g", "n", "mean", "_b", place.alias("_i")).join(placed.select("_g", "_i", "_v"), ["_g", "_i"])
+    means = drawn.groupBy("_g", "n", "mean", "_b").agg(F.avg("_v").alias("_m"))
+    out = means.groupBy("_g", "n", "mean").agg(F.percentile("_m", F.array(F.lit(low), F.lit(high))).alias("_q"))
+    return out.select(F.col("_g").alias(by), "n", "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
 def permutation_p(observed: Column, at_least: Column, draws: Column) -> Column:

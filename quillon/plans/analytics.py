@@ -62,6 +62,17 @@ def sta09_half_sample_interval(t: Tables) -> DataFrame:
     return means.groupBy("o_orderpriority").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("o_orderpriority", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"))
 
 
+@query("""WITH m AS (SELECT o_orderpriority AS g, year(o_orderdate) * 12 + month(o_orderdate) AS k, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+p AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, avg(v) OVER (PARTITION BY g) AS mean FROM m WHERE g IS NOT NULL AND k IS NOT NULL AND v IS NOT NULL),
+d AS (SELECT g, b, ('0x' || left(md5(b || ':' || g || ':' || i), 8))::BIGINT % n AS i FROM p, range(2000) AS r(b)),
+q AS (SELECT g, n, mean, b, avg(v) AS x FROM d JOIN p USING (g, i) GROUP BY 1, 2, 3, 4)
+SELECT g AS o_orderpriority, n, round(mean, 4) AS mean, round(quantile_cont(x, 0.025), 4) AS low, round(quantile_cont(x, 0.975), 4) AS high FROM q GROUP BY g, n, mean""")
+def sta09_bootstrap_interval(t: Tables) -> DataFrame:
+    months = t.orders.groupBy("o_orderpriority", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("k")).agg(F.avg("o_totalprice").alias("v"))
+    out = stats.bootstrap_interval(months, "o_orderpriority", "v", "k")
+    return out.select("o_orderpriority", "n", *(F.round(c, 4).alias(c) for c in ("mean", "low", "high")))
+
+
 @query("""SELECT event_id, r FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('5:' || event_id), event_id) AS r FROM events) WHERE r <= 10""")
 def sta11_sample_without_replacement(t: Tables) -> DataFrame:
     order = F.md5(F.concat(F.lit("5:"), F.col("event_id").cast("string")).cast("binary"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,36 @@ def test_running_counts_over_many_parts(spark, down):
     for r in random.Random(6).sample(out, 300):
         own = [float(v) for i, v in enumerate(values) if i % 3 == r.g]
         assert r.n == own.count(r.v) and r.n_before == sum(x > r.v if down else x < r.v for x in own)
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_following_values(spark, down):
+    values = random.Random(7).choices(range(200), k=400)
+    frame = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "v int, g int")
+    out = ranks.running_counts(frame, "v", {"n": F.lit(1).cast("long")}, down, per_bucket=5, by=("g",), following="then").collect()
+    for g in (0, 1):
+        own = sorted({v for i, v in enumerate(values) if i % 2 == g}, reverse=down)
+        assert {r.v: r.then for r in out if r.g == g} == dict(zip(own, [*own[1:], None]))
+
+
+def test_wasserstein_over_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=90).round(1), rng.normal(0.5, 2, size=60).round(1)
+    frame = spark.createDataFrame([(float(v), True) for v in a] + [(float(v), False) for v in b] + [(None, True)], "v double, s boolean")
+    plain = ranks.running_counts
+    monkeypatch.setattr(stats, "running_counts", lambda *p, **k: plain(*p, **k, per_bucket=4))
+    at = np.unique(np.concatenate([a, b]))
+    below = lambda x: np.searchsorted(np.sort(x), at[:-1], "right") / len(x)
+    assert stats.wasserstein(frame, "v", F.col("s")).first().distance == pytest.approx(float((np.abs(below(a) - below(b)) * np.diff(at)).sum()))
+
+
+def test_bootstrap_interval(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", "b"]), i, rng.gauss(0, 1)) for i in range(80)] + [("single", 5, 3.0), (None, 6, 1.0), ("a", None, 1.0), ("a", 900, None)]
+    got = {r.g: r for r in stats.bootstrap_interval(spark.createDataFrame(rows, "g string, k int, v double"), "g", "v", "k", 60).collect()}
+    assert set(got) == {"a", "b", "single"}
+    for g, r in got.items():
+        own = [v for h, k, v in sorted(x for x in rows if None not in x) if h == g]
+        means = [np.mean([own[int(md5(f"{b}:{g}:{i}")[:8], 16) % len(own)] for i in range(len(own))]) for b in range(60)]
+        assert r.n == len(own) and r.mean == pytest.approx(np.mean(own))
+        assert (r.low, r.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
