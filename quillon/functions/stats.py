@@ -304,15 +304,21 @@ def cohort_p(spark, sums: np.ndarray, counts: np.ndarray, size: int) -> np.ndarr
 KERNEL_ROWS = 512
 
 
-def median_gap(v: np.ndarray) -> float:
-    """The median positive squared distance of all pairs of numbers, 1 if there is none; by bisection over sorted values, without the pairs."""
-    v = np.sort(np.asarray(v, float))
-    n = len(v)
+def median_gap(v: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The median positive squared distance of all pairs of numbers, 1 if there is none; by bisection over sorted values, without the pairs.
+
+    With whole-number `weights` a number stands for so many equal ones, which gives the same as repeating it.
+    """
+    v, weights = np.asarray(v, float), np.ones(len(v), np.int64) if weights is None else np.asarray(weights, np.int64)
+    v, at = np.unique(v, return_inverse=True)
+    equal = np.zeros(len(v), np.int64)
+    np.add.at(equal, at, weights)
+    upto = np.concatenate([[0], np.cumsum(equal)])
+    n = int(upto[-1])
 
     def within(gap: float) -> int:
-        return int(np.searchsorted(v, v + gap, side="right").sum()) - n * (n + 1) // 2
+        return int(equal @ upto[np.searchsorted(v, v + gap, side="right")]) - n * (n + 1) // 2
 
-    equal = np.unique(v, return_counts=True)[1]
     none = int((equal * (equal - 1) // 2).sum())
     positive = n * (n - 1) // 2 - none
     if positive < 1:

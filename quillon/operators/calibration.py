@@ -3,8 +3,8 @@
 An entity has two vectors. A pair falls into a bin of r2, the squared correlation of the first ones, and a bin of e, the correlation
 or the proximity of the second ones. Replicate b counts a pair w_i * w_j times, where w is the entity's multiplicity in b: a Poisson
 draw from a hash of entity and replicate, so that nothing about replicates is stored or shuffled but one small array an entity, and
-any engine with MD5 draws the same. All replicates are counted in the same visit of a block pair: a row of pairs is sorted by cell
-once and the partners' multiplicities are summed by cell. Replicate 0 is the data itself.
+any engine with MD5 draws the same. All replicates are counted in the same visit of a block pair: the partners' multiplicities, several packed
+into one whole number, are summed by cell for each entity. Replicate 0 is the data itself.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import BLOCK, _sides, block_pairs
+from .pairs import BLOCK, _sides, block_pairs, in_parts, single_error, tiles
 
 #: The distribution function of a Poisson number of mean 1 at 0..7; a draw beyond the last counts 8. Fixed values.
 POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.9999897508)
@@ -34,16 +34,16 @@ def multiplicity(key: Column, replicate: Column | int) -> Column:
     return F.when(replicate == 0, F.lit(1)).otherwise(drawn).cast("double")
 
 
-def correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pearson correlations of the rows of a with those of b; 0 where one is constant."""
-    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-    norm = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))[None]
-    return np.divide(a @ b.T, norm, out=np.zeros_like(norm), where=norm > 0)
+def _centred(x: np.ndarray) -> np.ndarray:
+    """Rows less their mean, of length 1; 0 where one is constant."""
+    x = x - x.mean(1, keepdims=True)
+    norm = np.sqrt((x**2).sum(1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def proximities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """2<a,b> / (<a,a> + <b,b>) of the raw rows: equal vectors have 1, and a shared mean counts."""
-    return 2 * (a @ b.T) / ((a**2).sum(1)[:, None] + (b**2).sum(1)[None] + 1e-12)
+def _proximity(dot: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """2<a,b> / (<a,a> + <b,b>) of raw rows, from their products and squares: equal vectors have 1, and a shared mean counts."""
+    return 2 * dot / (a + b + 1e-12)
 
 
 def places(x: np.ndarray, low: float, width: float, bins: int) -> np.ndarray:
@@ -62,25 +62,74 @@ def joint_histogram(df: DataFrame, key: str, first: str, second: str, replicates
     one, two = int(sizes[0] or 0), int(sizes[1] or 0)
     weights = F.array(*(multiplicity(F.col(key), b) for b in range(replicates + 1)))
     packed = rows.select(key, F.concat(F.col(first).cast("array<double>"), F.col(second).cast("array<double>"), weights).alias("_packed"), F.lit(0).alias("_label"))
-    relate = proximities if statistic == "proximity" else correlations
+    near = statistic == "proximity"
     schema = "replicate int, r_bin int, e_bin int, pairs double"
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, once = _sides(frame)
+        left, right = _sides(frame)
         if not len(left) or not len(right):
             return pd.DataFrame({"replicate": [], "r_bin": [], "e_bin": [], "pairs": []})
         a, b = np.stack(left["vector"]), np.stack(right["vector"])
-        r2 = np.round(np.minimum(correlations(a[:, :one], b[:, :one]) ** 2, 0.999999), 9)
-        e = np.round(np.clip(relate(a[:, one : one + two], b[:, one : one + two]), -E_LIMIT, E_LIMIT), 9)
-        cells = places(r2, 0.0, 1 / r_bins, r_bins) * e_bins + places(e, -E_LIMIT, 2 * E_LIMIT / e_bins, e_bins)
-        own, other, total = a[:, one + two :], b[:, one + two :], np.zeros((r_bins * e_bins, replicates + 1))
-        for i in range(len(a)):
-            partners = np.flatnonzero(once[i])
-            if len(partners):
-                order = partners[np.argsort(cells[i, partners], kind="stable")]
-                cell = cells[i, order]
-                starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                total[cell[starts]] += own[i] * np.add.reduceat(other[order], starts, axis=0)
+        a1, b1, own, weights = _centred(a[:, :one]), _centred(b[:, :one]), a[:, one + two :], b[:, one + two :]
+        a2, b2 = a[:, one : one + two], b[:, one : one + two]
+        a2, b2 = (a2, b2) if near else (_centred(a2), _centred(b2))
+        p, q = (a2**2).sum(1), (b2**2).sum(1)
+
+        def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            r2 = np.round(np.minimum((a1[i] * b1[j]).sum(1) ** 2, 0.999999), 9)
+            dot = (a2[i] * b2[j]).sum(1)
+            e = np.round(np.clip(_proximity(dot, p[i], q[j]) if near else dot, -E_LIMIT, E_LIMIT), 9)
+            return places(r2, 0.0, 1 / r_bins, r_bins) * e_bins + places(e, -E_LIMIT, 2 * E_LIMIT / e_bins, e_bins)
+
+        # Proximities come from vectors of length 1 and the ratio of the lengths, as squares may leave the range of single precision.
+        n1, n2 = np.sqrt(p), np.sqrt(q)
+        unit = lambda x, n: np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0).astype(np.float32)
+        s1, t1, s2, t2 = a1.astype(np.float32), b1.astype(np.float32), unit(a2, n1), unit(b2, n2)
+        r_slack, e_slack = np.float32(r_bins * (2 * single_error(one) + 1e-8)), np.float32(e_bins / (2 * E_LIMIT) * (single_error(two) + 1e-6) + 1e-5)
+        # Whole numbers below 2**53 are exact: so many multiplicities (8 at most) fit into one.
+        bits = int(8 * len(b)).bit_length()
+        packs = [range(k, min(k + 52 // bits, replicates + 1)) for k in range(0, replicates + 1, 52 // bits)]
+        packed = [sum(weights[:, r] * 2.0 ** (bits * (r - g.start)) for r in g) for g in packs]
+        total, sums = np.zeros((r_bins * e_bins, replicates + 1)), None
+        done = 0
+
+        def unpacked(sums: np.ndarray, rows: slice) -> None:
+            for g, s in zip(packs, sums):
+                s = s.astype(np.int64)
+                for r in g:
+                    total[:, r] += own[rows, r] @ (s >> bits * (r - g.start) & (1 << bits) - 1)
+
+        for rows, columns, once in tiles(len(a), len(b), left is right):
+            if sums is None or rows.start != done:
+                if sums is not None:
+                    unpacked(sums, slice(done, done + sums.shape[1]))
+                sums, done = np.zeros((len(packs), rows.stop - rows.start, r_bins * e_bins)), rows.start
+            r2 = s1[rows] @ t1[columns].T
+            r2 *= r2
+            r2 *= np.float32(r_bins)
+            e = s2[rows] @ t2[columns].T
+            if near:
+                e *= (_proximity(np.outer(n1[rows], n2[columns]), p[rows, None], q[None, columns])).astype(np.float32)
+            e += np.float32(E_LIMIT)
+            e *= np.float32(e_bins / (2 * E_LIMIT))
+            cell, edge = np.zeros(r2.shape, np.int32), np.zeros(r2.shape, bool)
+            for x, slack, last, step in ((r2, r_slack, r_bins, e_bins), (e, e_slack, e_bins, 1)):
+                x -= slack
+                low = x.astype(np.int32)
+                edge |= (x < 0) & (slack == e_slack)
+                x += 2 * slack
+                edge |= (low != x.astype(np.int32)) | (x >= last)
+                cell += low * np.int32(step)
+            at = np.flatnonzero(edge if once is None else edge & once)
+            if len(at):
+                i, j = np.divmod(at, cell.shape[1])
+                cell.ravel()[at] = in_parts(exact, rows.start + i, columns.start + j)
+            for i in range(len(cell)):
+                c, first = (cell[i], columns.start) if once is None else (cell[i, max(0, rows.start + i + 1 - columns.start) :], max(columns.start, rows.start + i + 1))
+                for k, w in enumerate(packed):
+                    if len(c):
+                        sums[k, i] += np.bincount(c, weights=w[first : columns.stop], minlength=r_bins * e_bins)
+        unpacked(sums, slice(done, done + sums.shape[1]))
         cell, replicate = np.nonzero(total)
         return pd.DataFrame({"replicate": replicate, "r_bin": cell // e_bins, "e_bin": cell % e_bins, "pairs": total[cell, replicate]})
 

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import running_counts
 from ..functions.stats import correlation
-from .pairs import BLOCK, dealt
+from .blocks import rough_gaps
+from .pairs import BLOCK, block_count, dealt, nearest
 
 
 def _faced(queries: DataFrame, memories: DataFrame, block: int) -> DataFrame:
     """(q_blk, p_blk, side, ...): queries (side 0) and memories (side 1) dealt to all pairs of their blocks."""
-    asks, held = queries.count() // block + 1, memories.count() // block + 1
+    asks, held = block_count(queries.count(), block), block_count(memories.count(), block)
     blk = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select(blk(asks).alias("q_blk"), every(held).alias("p_blk"), F.lit(0).alias("side"), "*")
@@ -60,13 +61,22 @@ def conditional_retrieval(df: DataFrame, key: str, parts: dict[str, str], target
         q, p = _sides(frame)
         if not len(q) or not len(p):
             return pd.DataFrame({c: [] for c in ("key", "set", "actual", "partner", "d2", "y")})
-        gaps = [_gaps(np.stack([r[i] for r in q["x"]]), np.stack([r[i] for r in p["x"]])) for i in range(len(names))]
-        out, keys, values = [], p["key"].to_numpy(), p["y"].to_numpy()
+        a, b = ([np.stack([r[i] for r in f["x"]]) for i in range(len(names))] for f in (q, p))
+        roughs = [rough_gaps(x, y) for x, y in zip(a, b)]
+        out, keys, values, found = [], p["key"].to_numpy(), p["y"].to_numpy(), {}
         for s, seen in enumerate(places):
-            d2 = np.round(sum((gaps[i] for i in seen), np.zeros((len(q), len(p)))), 9)
-            order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(q)), order.shape[1])
-            out.append({"key": q["key"].to_numpy()[row], "set": np.full(len(row), s), "actual": q["y"].to_numpy()[row], "partner": keys[order.ravel()], "d2": d2[row, order.ravel()], "y": values[order.ravel()]})
+            sources = tuple(sorted(seen))
+            if sources not in found:
+
+                def rough(i: slice, j: slice, sources=sources) -> np.ndarray:
+                    return sum((roughs[c][0](i, j) for c in sources), np.zeros((i.stop - i.start, j.stop - j.start), np.float32))
+
+                def exact(i: np.ndarray, j: np.ndarray, sources=sources) -> np.ndarray:
+                    return np.round(sum((((a[c][i] - b[c][j]) ** 2).sum(1) for c in sources), np.zeros(len(i))), 9)
+
+                found[sources] = nearest(len(q), len(p), rough, exact, k, sum((roughs[c][1] for c in sources), 1e-8))
+            row, column, d2 = found[sources]
+            out.append({"key": q["key"].to_numpy()[row], "set": np.full(len(row), s), "actual": q["y"].to_numpy()[row], "partner": keys[column], "d2": d2, "y": values[column]})
         return _stacked(out)
 
     faced = _faced(rows.where(~F.col("train")), rows.where("train"), block)
