@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import running_counts
+from ..functions.ranks import BROADCAST_ROWS, running_counts
 from ..storage import settled
 
 #: Euler's constant. Fixed value.
@@ -92,8 +92,14 @@ def pool_null(rows: DataFrame, draws: int) -> DataFrame:
     pool = placed.join(F.broadcast(firsts), "cohort").select("cohort", (F.col("position") - F.col("first")).alias("place"), "value")
     seen = settled(valid.groupBy("item", "cohort").agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
     both = seen.groupBy("item").agg(F.max(F.when(F.col("cohort") == 0, F.col("mean"))).alias("a"), F.max(F.when(F.col("cohort") == 1, F.col("mean"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("item", (F.col("b") - F.col("a")).alias("delta"))
-    each = seen.join(F.broadcast(firsts), "cohort").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
-    taken = each.select("item", "cohort", "draw", F.pmod(hashed(F.col("draw"), F.col("item"), F.col("cohort"), F.col("i")), F.col("size")).alias("place")).join(pool, ["cohort", "place"])
+    # Each row makes the draws of its own number among its item's and cohort's, so a large item's draws are spread over all tasks.
+    own = numbered(valid.select("id", "item", "cohort"), "item", "cohort", "id")
+    starts = settled(own.groupBy("item", "cohort").agg(F.min("position").alias("start")))
+    starts = F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts
+    each = own.join(starts, ["item", "cohort"]).join(F.broadcast(firsts.select("cohort", "size")), "cohort")
+    each = each.select("item", "cohort", "size", (F.col("position") - F.col("start")).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    place = F.pmod(hashed(F.col("draw"), F.col("item"), F.col("cohort"), F.col("i")), F.col("size"))
+    taken = each.select("item", "cohort", "draw", place.alias("place")).join(pool, ["cohort", "place"])
     means = taken.groupBy("item", "draw").agg(F.avg(F.when(F.col("cohort") == 1, F.col("value"))).alias("b"), F.avg(F.when(F.col("cohort") == 0, F.col("value"))).alias("a"))
     beyond = F.when(F.col("delta") < 0, F.col("b") - F.col("a") <= F.col("delta")).otherwise(F.col("b") - F.col("a") >= F.col("delta"))
     return means.join(both, "item").groupBy("item", "delta").agg(F.avg(F.col("b") - F.col("a")).alias("null_mean"), F.avg(beyond.cast("int")).alias("p_identity"))
