@@ -48,24 +48,35 @@ def grouped_ridge(df: DataFrame, by: str, x: list[str], y: list[str], train: str
     return rows.select("g").distinct().join(scores, "g", "left").select(F.col("g").alias(by), F.coalesce("r2", F.lit(float("nan"))).alias("r2"))
 
 
+#: Entities of a group of panels.
+PANELS = 2048
+
+
 def panel_ridge(df: DataFrame, partners: DataFrame, key: str, vector: str, alpha: float = 1.0) -> DataFrame:
     """(key, r2): in-sample R2, held in [0, 1], of each entity's centred vector by ridge on those of its partners (key, partner); 0 if constant.
 
-    A task holds an entity and its few partners; vectors travel once for each pair.
+    A group holds the partners of about PANELS entities; vectors travel once for each pair.
     """
     vectors = df.select(F.col(key).cast("long").alias("partner"), F.col(vector).cast("array<double>").alias("v"))
     pairs = partners.select("key", "partner").unionByName(partners.select("key").distinct().withColumn("partner", F.col("key")))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame["partner"] == frame["key"]
-        m = np.stack([*frame[own]["v"], *frame[~own].sort_values("partner")["v"]]).T
-        m = m - m.mean(0)
-        x, y = m[:, 1:], m[:, 0]
-        rest = y - x @ np.linalg.solve(x.T @ x + alpha * np.eye(x.shape[1]), x.T @ y)
-        total = (y**2).sum()
-        return pd.DataFrame({"key": frame["key"].iloc[:1], "r2": [float(np.clip(1 - (rest**2).sum() / total, 0, 1)) if total > 0 else 0.0]})
-
-    return pairs.join(vectors, "partner").groupBy("key").applyInPandas(fit, "key long, r2 double")
+        frame = frame.assign(other=frame["partner"] != frame["key"]).sort_values(["key", "other", "partner"])
+        v, keys = np.stack(frame["v"]), frame["key"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        v = v - v.mean(1, keepdims=True)
+        sizes, r2 = np.diff(np.append(starts, len(v))), np.zeros(len(starts))
+        for size in np.unique(sizes):  # entities of equally many partners at once
+            of = np.flatnonzero(sizes == size)
+            m = v[starts[of, None] + np.arange(size)]
+            x, y = m[:, 1:], m[:, 0]
+            w = np.linalg.solve(x @ x.transpose(0, 2, 1) + alpha * np.eye(size - 1), x @ y[:, :, None])
+            rest, total = y - (w.transpose(0, 2, 1) @ x)[:, 0], (y**2).sum(1)
+            r2[of] = np.where(total > 0, np.clip(1 - (rest**2).sum(1) / np.where(total > 0, total, 1), 0, 1), 0.0)
+        return pd.DataFrame({"key": keys[starts], "r2": r2})
+
+    cells = F.pmod(F.xxhash64("key"), F.lit(df.count() // PANELS + 1)).alias("cell")
+    return pairs.join(vectors, "partner").groupBy(cells).applyInPandas(fit, "key long, r2 double")
 
 
 def neighbour_regression(points: np.ndarray, values: np.ndarray, queries: np.ndarray, k: int = 5, weighted: bool = False) -> np.ndarray:
