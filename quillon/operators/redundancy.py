@@ -12,6 +12,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import settled
+
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
     """(rows, means, covariance) of a few columns by one pass."""
@@ -62,8 +64,13 @@ def pairwise_r2(df: DataFrame, columns: list[str], bins: int = 32) -> DataFrame:
     clean = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
     ends = clean.agg(*(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"_{c}") for c in columns))
     place = lambda c: F.least(F.coalesce(F.floor(F.try_divide(F.col(c) - F.col(f"_{c}.lo"), F.col(f"_{c}.hi") - F.col(f"_{c}.lo")) * bins), F.lit(0)), F.lit(bins - 1))
-    pairs = [F.struct(F.lit(a).alias("predictor"), F.lit(b).alias("target"), place(a).alias("bin"), F.col(b).alias("v")) for a in columns for b in columns if a != b]
-    cells = clean.join(F.broadcast(ends)).select(F.explode(F.array(*pairs)).alias("p")).select("p.*").groupBy("predictor", "target", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    # A row goes once to each predictor's bin, which sums up all targets.
+    bins_of = [F.struct(F.lit(a).alias("predictor"), place(a).alias("bin")) for a in columns]
+    placed = clean.join(F.broadcast(ends)).select(F.explode(F.array(*bins_of)).alias("p"), *columns).select("p.*", *columns)
+    sums = placed.groupBy("predictor", "bin").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.var_pop))))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("target"), F.col(f"m{i}").alias("m"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns))))
+    cells = sums.select("predictor", "bin", "n", each.alias("t")).select("predictor", "bin", "n", "t.*").where("predictor <> target")
+    cells = settled(cells)  # columns squared times bins; both sums below and whoever joins the result read it
     sums = cells.groupBy("predictor", "target").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("inner"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
     outer = cells.join(F.broadcast(sums.select("predictor", "target", "mean")), ["predictor", "target"]).groupBy("predictor", "target").agg(F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("outer"))
     return sums.join(outer, ["predictor", "target"]).select("predictor", "target", F.try_divide("outer", F.col("outer") + F.col("inner")).alias("r2"))
