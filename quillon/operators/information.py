@@ -79,6 +79,10 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+#: Draws of a task.
+DRAWS = 1 << 18
+
+
 def pool_null(rows: DataFrame, draws: int) -> DataFrame:
     """(item, delta, null_mean, p_identity) for rows (id, item, cohort, value) of cohorts 0 and 1: is an item's shift more than its cohorts' pools give?
 
@@ -94,9 +98,10 @@ def pool_null(rows: DataFrame, draws: int) -> DataFrame:
     both = seen.groupBy("item").agg(F.max(F.when(F.col("cohort") == 0, F.col("mean"))).alias("a"), F.max(F.when(F.col("cohort") == 1, F.col("mean"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select("item", (F.col("b") - F.col("a")).alias("delta"))
     # Each row makes the draws of its own number among its item's and cohort's, so a large item's draws are spread over all tasks.
     own = numbered(valid.select("id", "item", "cohort"), "item", "cohort", "id")
-    starts = settled(own.groupBy("item", "cohort").agg(F.min("position").alias("start")))
+    starts = settled(own.groupBy("item", "cohort").agg(F.min("position").alias("start"), F.count("*").alias("n")))
+    tasks = (starts.agg(F.sum("n")).first()[0] or 0) * draws // DRAWS + 1  # few bytes make many draws
     starts = F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts
-    each = own.join(starts, ["item", "cohort"]).join(F.broadcast(firsts.select("cohort", "size")), "cohort")
+    each = own.repartition(tasks).join(starts, ["item", "cohort"]).join(F.broadcast(firsts.select("cohort", "size")), "cohort")
     each = each.select("item", "cohort", "size", (F.col("position") - F.col("start")).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     place = F.pmod(hashed(F.col("draw"), F.col("item"), F.col("cohort"), F.col("i")), F.col("size"))
     taken = each.select("item", "cohort", "draw", place.alias("place")).join(pool, ["cohort", "place"])
