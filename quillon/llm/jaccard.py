@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import hashing, routed
 from .graph import components
-from .runtime import released, stored, text_chunks
+from .runtime import few, released, stored, text_chunks
 
 SKETCH_BITS, SKETCH_PARTS = routed.SKETCH_BITS, routed.SKETCH_PARTS
 #: Sets of a list that one bucket takes before the list is dealt over more.
@@ -53,6 +53,8 @@ BROADCAST_IDS = 1 << 21
 HUB, ROUNDS = 64, 2
 _LIGHT, _HOT = 1 << 62, 1 << 61
 _LINK, _CANDIDATE, _REST = 0, 1, 2
+#: Sets that a task compares.
+TASK_SETS = 1 << 11
 #: Words of a set's parity bitmap. Its bits flip with each shingle, so two sets' bitmaps differ in no more bits than the sets in shingles.
 BITMAP_WORDS = 8
 
@@ -246,10 +248,11 @@ def apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _read(rows: DataFrame, distinct: DataFrame, asked: DataFrame, size: int, shown: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """asked (id, further longs) with n and what is shown of each id's set, from the one text that stands for the set."""
+def _read(rows: DataFrame, distinct: DataFrame, asked: DataFrame, count: int, size: int, shown: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """asked (id, further longs; about `count` rows) with n and what is shown of each id's set, from the one text that stands for the set."""
     names = [c for c in asked.columns if c != "id"]
-    texts = stored(asked.join(distinct.select("id", "n", "at"), "id").select("id", *names, "n", F.col("at.key").alias("_key"), F.col("at.text_hash").alias("_hash")), "texts")
+    texts = asked.join(distinct.select("id", "n", "at"), "id").select("id", *names, "n", F.col("at.key").alias("_key"), F.col("at.text_hash").alias("_hash"))
+    texts = stored(few(texts, count), "texts")
     wanted = F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +269,9 @@ def _read(rows: DataFrame, distinct: DataFrame, asked: DataFrame, size: int, sho
 
 def _probable(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose parities don't rule a link out."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    maps = stored(_read(rows, distinct, ids, size, lambda own: parities(own).tobytes()), "parities").dropDuplicates(["id"])
+    count = pairs.count()
+    ids = few(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), count)
+    maps = few(stored(_read(rows, distinct, ids, count, size, lambda own: parities(own).tobytes()), "parities").dropDuplicates(["id"]), count, TASK_SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +280,7 @@ def _probable(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int,
             keep = [apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= k for x, y, k in zip(batch.column(4), batch.column(5), most)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b")
+    joined = few(few(pairs.join(maps.toDF("a", "n", "x"), "a"), count, TASK_SETS).join(maps.toDF("b", "m", "y"), "b"), count, TASK_SETS)
     return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -292,16 +296,17 @@ def _near(percent: int, boundary: int, x: str = "x", y: str = "y") -> Column:
     return fits & (apart <= n - 2 * F.expr(f"(n{x} + n{y}) * {percent} div {100 + percent}"))
 
 
-def _filtered(pairs: DataFrame, distinct: DataFrame, percent: int, boundary: int) -> DataFrame:
+def _filtered(pairs: DataFrame, count: int, distinct: DataFrame, percent: int, boundary: int) -> DataFrame:
     left = distinct.select(F.col("id").alias("a"), F.col("n").alias("nx"), *(F.col(w).alias(f"x{w[1:]}") for w in _words()))
     right = distinct.select(F.col("id").alias("b"), F.col("n").alias("ny"), *(F.col(w).alias(f"y{w[1:]}") for w in _words()))
-    return pairs.join(left, "a").join(right, "b").where(_near(percent, boundary)).select("a", "b")
+    return few(few(pairs.join(left, "a"), count).join(right, "b"), count).where(_near(percent, boundary)).select("a", "b")
 
 
 def _compared(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. A set travels once for each of its partners a; a's own set once for `HUB` of its partners."""
-    hubs = pairs.groupBy("a").agg(F.expr(f"count(*) div {HUB} + 1").alias("parts"))
-    partners = pairs.join(hubs, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    count = pairs.count()
+    hubs = few(pairs.groupBy("a").agg(F.expr(f"count(*) div {HUB} + 1").alias("parts")), count)
+    partners = few(pairs.join(hubs, "a"), count).select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     own = hubs.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -315,8 +320,8 @@ def _compared(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int,
                 found.append(i)
         return pd.DataFrame({"a": np.full(len(found), hub, np.int64), "b": np.array(found, np.int64)})
 
-    sets = _read(rows, distinct, partners.unionByName(own), size, np.ndarray.tobytes)
-    return sets.groupBy("hub", "part").applyInPandas(run, "a long, b long")
+    sets = _read(rows, distinct, partners.unionByName(own), 2 * count, size, np.ndarray.tobytes)
+    return few(sets.groupBy("hub", "part").applyInPandas(run, "a long, b long"), 2 * count, TASK_SETS)
 
 
 def _joined(links: DataFrame, reached: DataFrame | None, pairs: DataFrame, rows: DataFrame, distinct: DataFrame, size: int, percent: int) -> DataFrame:
@@ -325,15 +330,16 @@ def _joined(links: DataFrame, reached: DataFrame | None, pairs: DataFrame, rows:
     if reached is not None:
         links = links.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b")))
     for k in range(ROUNDS + 1):
-        if not pairs.isEmpty():
-            chosen = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if k < ROUNDS else pairs, "chosen")
+        count = pairs.count()
+        if count:
+            chosen = stored(few(pairs.groupBy("b").agg(F.min("a").alias("a")), count).select("a", "b"), "chosen") if k < ROUNDS else pairs
             links = stored(links.unionByName(_compared(chosen, rows, distinct, size, percent)), "links")
-            pairs = pairs.join(chosen, ["a", "b"], "left_anti")
+            pairs = few(pairs.join(chosen, ["a", "b"], "left_anti"), count)
         elif k:
             break
         reached = stored(components(links), "reached")
         left, right = reached.toDF("a", "ca"), reached.toDF("b", "cb")
-        apart_ = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        apart_ = few(few(pairs.join(left, "a", "left"), count).join(right, "b", "left"), count).where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         pairs = stored(apart_.select("a", "b"), "pairs")
     return reached
 
@@ -345,7 +351,8 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, k
     both = stored(_sets_and_sketch(rows, size), "shingle-sets")
     sets = both.where("kind = 0").select("key", "text_hash", "n", "set_id", *_words())
     fixed = (F.min(c).alias(c) for c in ("n", *_words()))
-    distinct = stored(sets.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(*fixed, F.min(F.struct("key", "text_hash")).alias("at")), "distinct-sets")
+    n_rows = both.where("kind = 0").count()
+    distinct = stored(few(sets.where("n > 0").groupBy(F.col("set_id").alias("id")).agg(*fixed, F.min(F.struct("key", "text_hash")).alias("at")), n_rows), "distinct-sets")
     histogram = {r["m"]: r["count"] for r in distinct.groupBy(F.least("n", F.lit(64)).alias("m")).count().collect()}
     boundary = choose_boundary(histogram, percent, list_cost)
     volume = distinct.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -354,22 +361,23 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, k
 
     entries = _entries(rows, size, percent, boundary, buckets, routed.summed(both.where("kind = 1").select(F.col("n").cast("int").alias("part"), "counts")))
     met = stored(_met(entries, percent, boundary), "met")
-    links = stored(met.where(F.col("kind") == _LINK).select("a", "b").distinct(), "links")
-    pairs = met.where(F.col("kind") == _CANDIDATE).select("a", "b").distinct()
+    counts = met.agg(*(F.count_if(F.col("kind") == k).alias(str(k)) for k in (_LINK, _CANDIDATE, _REST))).first()
+    links = stored(few(met.where(F.col("kind") == _LINK).select("a", "b").distinct(), counts[_LINK]), "links")
+    pairs = few(met.where(F.col("kind") == _CANDIDATE).select("a", "b").distinct(), counts[_CANDIDATE])
     rest = met.where(F.col("kind") == _REST).select("key", F.col("a").alias("id"), "n")
-    near = stored(_filtered(pairs, distinct, percent, boundary), "near")
+    near = stored(_filtered(pairs, counts[_CANDIDATE], distinct, percent, boundary), "near")
     reached = _joined(links, None, stored(_probable(near, rows, distinct, size, percent), "probable"), rows, distinct, size, percent)
 
-    rest = stored(rest.join(reached, rest["id"] == reached["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c")), "rest")
-    split = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rest = rest.join(split, "key", "left_semi").join(distinct.drop("at"), "id").select("key", "id", "c", "n", *_words())
+    rest = stored(few(rest.join(reached, rest["id"] == reached["node"], "left"), counts[_REST]).select("key", "id", F.coalesce("component", "id").alias("c")), "rest")
+    split = few(rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"), counts[_REST])
+    rest = few(few(rest.join(split, "key", "left_semi"), counts[_REST]).join(distinct.drop("at"), "id"), counts[_REST]).select("key", "id", "c", "n", *_words())
     x, y = rest.toDF("key", "a", "ca", "nx", *_words("x")), rest.toDF("key", "b", "cb", "ny", *_words("y"))
     others = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(percent, boundary)).select("a", "b").distinct()
     others = stored(_probable(stored(others, "others"), rows, distinct, size, percent), "probable")
     if not others.isEmpty():
         reached = _joined(links.limit(0), reached, others, rows, distinct, size, percent)
 
-    named = sets.select("key", "n", "set_id").join(reached.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
-    least = named.where("n > 0").groupBy("c").agg(F.min("key").alias("least"))
-    named = named.join(least, "c", "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+    named = few(sets.select("key", "n", "set_id").join(reached.withColumnRenamed("node", "set_id"), "set_id", "left"), n_rows).withColumn("c", F.coalesce("component", "set_id"))
+    least = few(named.where("n > 0").groupBy("c").agg(F.min("key").alias("least")), n_rows)
+    named = few(named.join(least, "c", "left"), n_rows).select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
     return named.withColumnRenamed("key", key)

@@ -57,6 +57,15 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+#: Rows of a small table that a task takes.
+TASK_ROWS = 1 << 16
+
+
+def few(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """df, of about so many rows, in a task for each `each` of them (one for each core at least), however many shuffle partitions there are."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // each))
+
+
 _kept: dict = {}
 
 

@@ -38,3 +38,22 @@ def test_components_equal_brute_force(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_need_no_rounds_and_many_the_same_result(spark, monkeypatch):
+    from quillon.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, old=graph.stored: written.append(name) or old(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(5, 900), (1000, 1001)], "a long, b long").repartition(40)
+    once = sorted(map(tuple, components(links).collect()))
+    assert len(written) == 1 and once == sorted(brute([(r.a, r.b) for r in links.collect()]).items())
+    assert sorted(map(tuple, components(links, task_edges=1).collect())) == once
+
+
+def test_small_tables_take_few_tasks(spark):
+    from quillon.llm.runtime import few
+
+    cores = spark.sparkContext.defaultParallelism
+    assert few(spark.range(100).repartition(60), 100).rdd.getNumPartitions() == cores
+    assert few(spark.range(100).repartition(60), 20 * 100, 100).rdd.getNumPartitions() == 20
