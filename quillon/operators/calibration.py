@@ -3,8 +3,8 @@
 An entity has two vectors. A pair falls into a bin of r2, the squared correlation of the first ones, and a bin of e, the correlation
 or the proximity of the second ones. Replicate b counts a pair w_i * w_j times, where w is the entity's multiplicity in b: a Poisson
 draw from a hash of entity and replicate, so that nothing about replicates is stored or shuffled but one small array an entity, and
-any engine with MD5 draws the same. All replicates are counted in the same visit of a block pair: the partners' multiplicities, several packed
-into one whole number, are summed by cell for each entity. Replicate 0 is the data itself.
+any engine with MD5 draws the same. All replicates are counted in the same visit of a block pair: the pairs' products of multiplicities, several packed
+into one whole number, are summed by cell for each tile. Replicate 0 is the data itself.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .pairs import BLOCK, _sides, block_pairs, in_parts, single_error, tiles
 #: The distribution function of a Poisson number of mean 1 at 0..7; a draw beyond the last counts 8. Fixed values.
 POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.9999897508)
 E_LIMIT = 1.024
+#: Rows and columns of a tile: its arrays stay in a core's cache, and three replicates' sums over it fit into a whole number.
+ROWS, COLUMNS = 256, 384
 
 
 def multiplicity(key: Column, replicate: Column | int) -> Column:
@@ -83,53 +85,48 @@ def joint_histogram(df: DataFrame, key: str, first: str, second: str, replicates
 
         # Proximities come from vectors of length 1 and the ratio of the lengths, as squares may leave the range of single precision.
         n1, n2 = np.sqrt(p), np.sqrt(q)
-        unit = lambda x, n: np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0).astype(np.float32)
-        s1, t1, s2, t2 = a1.astype(np.float32), b1.astype(np.float32), unit(a2, n1), unit(b2, n2)
-        r_slack, e_slack = np.float32(r_bins * (2 * single_error(one) + 1e-8)), np.float32(e_bins / (2 * E_LIMIT) * (single_error(two) + 1e-6) + 1e-5)
-        # Whole numbers below 2**53 are exact: so many multiplicities (8 at most) fit into one.
-        bits = int(8 * len(b)).bit_length()
-        packs = [range(k, min(k + 52 // bits, replicates + 1)) for k in range(0, replicates + 1, 52 // bits)]
-        packed = [sum(weights[:, r] * 2.0 ** (bits * (r - g.start)) for r in g) for g in packs]
-        total, sums = np.zeros((r_bins * e_bins, replicates + 1)), None
-        done = 0
-
-        def unpacked(sums: np.ndarray, rows: slice) -> None:
-            for g, s in zip(packs, sums):
-                s = s.astype(np.int64)
-                for r in g:
-                    total[:, r] += own[rows, r] @ (s >> bits * (r - g.start) & (1 << bits) - 1)
-
-        for rows, columns, once in tiles(len(a), len(b), left is right):
-            if sums is None or rows.start != done:
-                if sums is not None:
-                    unpacked(sums, slice(done, done + sums.shape[1]))
-                sums, done = np.zeros((len(packs), rows.stop - rows.start, r_bins * e_bins)), rows.start
+        unit = lambda x, n: np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
+        r_scale, e_scale = np.sqrt(r_bins), e_bins / (2 * E_LIMIT)
+        s1, t1, s2, t2 = ((a1 * r_scale).astype(np.float32), b1.astype(np.float32), (unit(a2, n1) * e_scale).astype(np.float32), unit(b2, n2).astype(np.float32))
+        r_slack, e_slack = np.float32(r_bins * (2 * single_error(one) + 1e-8)), np.float32(e_scale * (single_error(two) + 1e-6) + 1e-5)
+        middle = np.float32(e_bins / 2 - e_slack)
+        total = np.zeros((r_bins * e_bins, replicates + 1))
+        for rows, columns, once in tiles(len(a), len(b), left is right, ROWS, COLUMNS):
             r2 = s1[rows] @ t1[columns].T
             r2 *= r2
-            r2 *= np.float32(r_bins)
+            r2 -= r_slack
             e = s2[rows] @ t2[columns].T
             if near:
                 e *= (_proximity(np.outer(n1[rows], n2[columns]), p[rows, None], q[None, columns])).astype(np.float32)
-            e += np.float32(E_LIMIT)
-            e *= np.float32(e_bins / (2 * E_LIMIT))
-            cell, edge = np.zeros(r2.shape, np.int32), np.zeros(r2.shape, bool)
-            for x, slack, last, step in ((r2, r_slack, r_bins, e_bins), (e, e_slack, e_bins, 1)):
-                x -= slack
-                low = x.astype(np.int32)
-                edge |= (x < 0) & (slack == e_slack)
-                x += 2 * slack
-                edge |= (low != x.astype(np.int32)) | (x >= last)
-                cell += low * np.int32(step)
-            at = np.flatnonzero(edge if once is None else edge & once)
+            e += middle
+            # A number less its slack lies in the pair's bin, unless it comes within twice the slack of the next one.
+            cell, place = np.trunc(r2), np.trunc(e)
+            r2 -= cell
+            edge = r2 >= 1 - 2 * r_slack
+            edge |= e < 0
+            e -= place
+            edge |= e >= 1 - 2 * e_slack
+            cell *= np.float32(e_bins)
+            cell += place
+            if once is not None:
+                edge &= once
+            cell = cell.astype(np.intp).ravel()
+            at = np.flatnonzero(edge)
             if len(at):
-                i, j = np.divmod(at, cell.shape[1])
-                cell.ravel()[at] = in_parts(exact, rows.start + i, columns.start + j)
-            for i in range(len(cell)):
-                c, first = (cell[i], columns.start) if once is None else (cell[i, max(0, rows.start + i + 1 - columns.start) :], max(columns.start, rows.start + i + 1))
-                for k, w in enumerate(packed):
-                    if len(c):
-                        sums[k, i] += np.bincount(c, weights=w[first : columns.stop], minlength=r_bins * e_bins)
-        unpacked(sums, slice(done, done + sums.shape[1]))
+                i, j = np.divmod(at, edge.shape[1])
+                cell[at] = in_parts(exact, rows.start + i, columns.start + j)
+            if once is not None:
+                np.clip(cell, 0, r_bins * e_bins - 1, out=cell)  # pairs that don't count
+            # Whole numbers below 2**53 are exact: so many replicates' products of multiplicities fit into one, whatever their sums are.
+            bits = int((own[rows].sum(0) * weights[columns].sum(0)).max(initial=0)).bit_length() or 1
+            for g in range(0, replicates + 1, max(1, 53 // bits)):
+                of = np.arange(g, min(g + max(1, 53 // bits), replicates + 1))
+                both = (own[rows][:, of] * 2.0 ** (bits * (of - g))) @ weights[columns][:, of].T
+                if once is not None:
+                    both *= once
+                sums = np.bincount(cell, weights=both.ravel(), minlength=r_bins * e_bins).astype(np.int64)
+                for r in of:
+                    total[:, r] += sums >> bits * int(r - g) & (1 << bits) - 1
         cell, replicate = np.nonzero(total)
         return pd.DataFrame({"replicate": replicate, "r_bin": cell // e_bins, "e_bin": cell % e_bins, "pairs": total[cell, replicate]})
 

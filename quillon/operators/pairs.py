@@ -97,12 +97,12 @@ def _sides(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return left, left if same else frame[frame["side"] == 1].sort_values("key")
 
 
-def tiles(rows: int, columns: int, same: bool):
+def tiles(rows: int, columns: int, same: bool, strip: int = STRIP, tile: int = TILE):
     """(rows, columns, which pairs count once or None for all) of the tiles of a block pair; those below the diagonal are left out if it is one block."""
-    for i in range(0, rows, STRIP):
-        own = slice(i, min(i + STRIP, rows))
-        for j in range(i // TILE * TILE if same else 0, columns, TILE):
-            other = slice(j, min(j + TILE, columns))
+    for i in range(0, rows, strip):
+        own = slice(i, min(i + strip, rows))
+        for j in range(i // tile * tile if same else 0, columns, tile):
+            other = slice(j, min(j + tile, columns))
             crossed = same and other.start < own.stop
             yield own, other, np.arange(i, own.stop)[:, None] < np.arange(j, other.stop)[None] if crossed else None
 

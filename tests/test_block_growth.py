@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quillon.functions import stats
-from quillon.operators import blocks, pairs
+from quillon.operators import blocks, calibration, pairs
 
 
 def test_blocks_do_not_grow_with_the_table():
@@ -56,3 +56,25 @@ def test_ablation_by_series_and_by_exponentials():
             term = term * z / m
             total += term
         assert np.abs(total / np.exp(z) - 1).max() < 1e-13
+
+
+@pytest.mark.parametrize("statistic", ["correlation", "proximity"])
+def test_joint_histogram_of_tiles(spark, statistic):
+    """Copies, constant vectors and an odd tile at each end; three replicates' sums over a tile fit into one number."""
+    assert 53 // int(1.25 * calibration.ROWS * calibration.COLUMNS).bit_length() >= 3
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2 * calibration.ROWS + 5, 12))
+    x[300:330], x[7], x[401, :6] = x[:30], 0, 2.0
+    df = spark.createDataFrame([(i, v[:6].tolist(), v[6:].tolist()) for i, v in enumerate(x)], "k long, a array<double>, b array<double>")
+    got = {(r.replicate, r.r_bin, r.e_bin): r.pairs for r in calibration.joint_histogram(df, "k", "a", "b", 4, statistic=statistic).collect()}
+    w = np.array([r[1:] for r in sorted(df.select("k", *(calibration.multiplicity(df.k, b).alias(f"w{b}") for b in range(5))).collect())])
+    i, j = np.triu_indices(len(x), 1)
+    a, b = calibration._centred(x[:, :6]), x[:, 6:] if statistic == "proximity" else calibration._centred(x[:, 6:])
+    r2, dot = np.round(np.minimum((a[i] * a[j]).sum(1) ** 2, 0.999999), 9), (b[i] * b[j]).sum(1)
+    e = np.round(calibration._proximity(dot, (b[i] ** 2).sum(1), (b[j] ** 2).sum(1)) if statistic == "proximity" else dot, 9)
+    cell = calibration.places(r2, 0.0, 0.05, 20) * 64 + calibration.places(e, -1.024, 0.032, 64)
+    want = {}
+    for r in range(5):
+        sums = np.bincount(cell, weights=w[i, r] * w[j, r])
+        want |= {(r, int(c) // 64, int(c) % 64): sums[c] for c in np.flatnonzero(sums)}
+    assert got == want
