@@ -29,28 +29,42 @@ def digamma(n: Column) -> Column:
     return F.when(n < 10, small).otherwise(series)
 
 
+#: Positions of a window.
+RUN = 1 << 14
+
+
 def class_information(df: DataFrame, value: str, label: str, k: int = 3) -> DataFrame:
     """(information): nats between a continuous column and a class, by the distance to the k-th nearest value of the same class (Ross 2014).
 
     A row's radius is that distance, in a class of n rows the (n-1)-th if that is less; the rows strictly within it (where it is 0, at
     it) are counted in the whole column. Rows with a null, and classes of one row, take no part; 0 at least, null without rows.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(label).isNotNull()).select(F.col(value).cast("double").alias("x"), F.col(label).alias("c"))
-    sizes = rows.groupBy("c").agg(F.count("*").alias("size")).where("size > 1")
-    placed = settled(numbered(rows.join(F.broadcast(sizes.select("c")), "c", "left_semi"), "c", "x").join(F.broadcast(sizes), "c"))  # classes are few
-    steps = F.explode(F.array(*(F.lit(j) for j in range(-k, k + 1) if j)))
-    beside = placed.select("position", "c", "x", steps.alias("step")).select((F.col("position") + F.col("step")).alias("position"), F.col("c").alias("other"), F.col("x").alias("there"))
-    near = placed.join(beside, "position").where(F.col("c") == F.col("other")).groupBy("position", "x", "size").agg(F.array_sort(F.collect_list(F.abs(F.col("x") - F.col("there")))).alias("d"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(label).isNotNull()).select((F.col(value).cast("double") + 0.0).alias("x"), F.col(label).alias("c"))
+    cells = settled(rows.groupBy("c", "x").agg(F.count("*").alias("n")))  # equal rows have one radius
+    sizes = cells.groupBy("c").agg(F.sum("n").alias("size")).where("size > 1")
+    placed = numbered(cells.join(F.broadcast(sizes), "c"), "c", "x")  # classes are few
+    # A run of positions meets the k before and after it, so windows are of runs.
+    runs = F.array_distinct(F.array(*(F.floor((F.col("position") + j) / RUN) for j in (-k, 0, k))))
+    inside = placed.select("*", F.explode(runs).alias("run"))
+    order = Window.partitionBy("run").orderBy("position")
+    others = [F.lag(F.struct("c", "x", "n"), j).over(order) if j > 0 else F.lead(F.struct("c", "x", "n"), -j).over(order) for j in range(-k, k + 1) if j]
     used = F.least(F.lit(k), F.col("size") - 1).cast("int")
-    radii = settled(near.select("x", "size", used.alias("used"), F.element_at("d", used).alias("r")))
+    near = inside.select("*", F.array(*others).alias("other")).where(F.floor(F.col("position") / RUN) == F.col("run"))
+    far = F.transform(F.filter("other", lambda o: o["c"] == F.col("c")), lambda o: F.struct(F.abs(F.col("x") - o["x"]).alias("d"), o["n"].alias("n")))
+    far = F.array_sort(F.concat(F.array(F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n"))), far))
+    # The least distance within which there are as many rows as used.
+    none = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("d"))
+    radius = F.aggregate(far, none, lambda s, o: F.struct((s["seen"] + o["n"]).alias("seen"), F.coalesce(s["d"], F.when(s["seen"] + o["n"] >= F.col("used"), o["d"])).alias("d")))["d"]
+    radii = settled(near.withColumn("used", used).select("x", "size", "n", "used", radius.alias("r")))
     radii = radii.withColumn("low", F.col("x") - F.col("r")).withColumn("high", F.col("x") + F.col("r"))
-    ends = radii.select(F.col("x").alias("v"), F.lit(1).alias("one")).unionByName(radii.select(F.explode(F.array("low", "high")).alias("v"), F.lit(0).alias("one")))
-    counts = settled(running_counts(ends, "v", {"held": F.col("one")}))
+    ends = radii.select(F.col("x").alias("v"), "n").unionByName(radii.select(F.explode(F.array("low", "high")).alias("v"), F.lit(0).cast("long").alias("n")))
+    counts = settled(running_counts(ends, "v", {"held": F.col("n")}))
     above = counts.select(F.col("v").alias("high"), F.col("held_before").alias("below_high"))
     below = counts.select(F.col("v").alias("low"), (F.col("held_before") + F.col("held")).alias("to_low"), F.col("held").alias("at"))
-    inside = F.when(F.col("r") == 0, F.col("at")).otherwise(F.col("below_high") - F.col("to_low"))
-    terms = radii.join(above, "high").join(below, "low").select("used", "size", inside.alias("m"))
-    total = terms.agg(F.count("*").alias("n"), F.avg(digamma(F.col("used"))).alias("a"), F.avg(digamma(F.col("size"))).alias("b"), F.avg(digamma(F.col("m"))).alias("d"))
+    within = F.when(F.col("r") == 0, F.col("at")).otherwise(F.col("below_high") - F.col("to_low"))
+    terms = radii.join(above, "high").join(below, "low").select("n", "used", "size", within.alias("m"))
+    mean = lambda c: F.try_divide(F.sum(F.col("n") * digamma(F.col(c))), F.sum("n"))
+    total = terms.agg(F.sum("n").alias("n"), mean("used").alias("a"), mean("size").alias("b"), mean("m").alias("d"))
     return total.select(F.when(F.col("n") > 0, F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("a") - F.col("b") - F.col("d"))).alias("information"))
 
 

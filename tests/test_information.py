@@ -71,3 +71,15 @@ def test_pool_null_finds_a_shift(spark):
     got = {r.item: r for r in I.pool_null(spark.createDataFrame(rows, "id long, item string, cohort int, value double"), 60).collect()}
     assert set(got) == {"i0", "i1", "i2", "i3"} and got["i1"].p_identity < 0.02 and got["i1"].delta > 0.2
     assert all(abs(r.null_mean) < 0.2 for r in got.values()) and max(got[i].p_identity for i in ("i0", "i2", "i3")) > 0.02
+
+
+def test_copies_and_runs_of_class_information(spark, monkeypatch):
+    """Copies count as rows though each value is kept once, and neighbours are found across runs of positions."""
+    monkeypatch.setattr(I, "RUN", 5)
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.normal() + i % 2), "ab"[i % 2]) for i in range(60)] + [(float(i % 3) / 2, "abc"[i % 3]) for i in range(24)] + [(7.0, "d"), (7.5, "d"), (-0.0, "c")]
+    frame = spark.createDataFrame(rows, "v double, label string")
+    kept = []
+    monkeypatch.setattr(I, "settled", lambda df, old=I.settled: kept.append(old(df)) or kept[-1])
+    assert I.class_information(frame, "v", "label").first()[0] == pytest.approx(brute(rows), abs=1e-9)
+    assert max(df.count() for df in kept[:2]) == len({(x, c) for x, c in rows}) < len(rows)
