@@ -78,13 +78,21 @@ def pairwise_r2(df: DataFrame, columns: list[str], bins: int = 32) -> DataFrame:
 
 #: Depth up to which trees grow; they stop earlier at five rows a leaf. Every split sees all columns.
 FOREST_DEPTH = 12
+#: Rows of a forest's task: they are few bytes and much work, so the files' sizes mustn't decide how many tasks there are.
+FOREST_ROWS = 1 << 15
+
+
+def forest_rows(df: DataFrame) -> DataFrame:
+    """df in a task for each FOREST_ROWS rows, or as it is if that many tasks or more read it."""
+    tasks = df.count() // FOREST_ROWS + 1
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
 
 
 def forest_r2(df: DataFrame, target: str, columns: list[str], folds: int = 3, trees: int = 120, seed: int = 0) -> float:
     """Cross-validated R2 of a random forest; folds by hash; 0 without columns or spread."""
     if not columns:
         return 0.0
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.dropna(subset=[target, *columns])).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), *columns, target), F.lit(folds)))
+    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(forest_rows(df.dropna(subset=[target, *columns]))).withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), *columns, target), F.lit(folds)))
     error, weight = 0.0, 0
     for fold in range(folds):
         model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=FOREST_DEPTH, featureSubsetStrategy="all", minInstancesPerNode=5, seed=seed).fit(rows.where(F.col("_f") != fold))

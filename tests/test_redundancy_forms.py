@@ -105,3 +105,13 @@ def test_readouts(spark):
             assert r.readout_share + r.compression_share == pytest.approx(1)
     with pytest.raises(ValueError):
         scan.readouts(rows.select(F.concat("channel", F.col("t").cast("string")).alias("channel"), "t", "train", "own", "target"), coded, config)
+
+
+def test_forests_take_tasks_by_rows(spark):
+    from quillon.operators import redundancy
+
+    one = spark.range(3 * redundancy.FOREST_ROWS + 5).coalesce(1)
+    assert redundancy.forest_rows(one).rdd.getNumPartitions() == 4 and redundancy.forest_rows(one).count() == one.count()
+    assert redundancy.forest_rows(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
+    x = spark.range(2000).selectExpr("cast(id % 40 AS double) AS x", "cast(id % 7 AS double) AS z", "cos(id % 40 / 8) AS y")
+    assert redundancy.forest_r2(x, "y", ["x", "z"], trees=5) > 0.9
