@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import min_rank
 from ..functions.stats import auroc
+from ..storage import settled
 from .relational import shares
 
 
@@ -112,7 +113,7 @@ def _assembled(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     rows = rows.withColumn("_y", F.col(label).cast("double"))
     sums = rows.groupBy("_y").agg(F.count(F.lit(1)).alias("_c"))
     total = sums.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    weights = sums.join(F.broadcast(total)).select(F.col("_y").alias("_yy"), (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("_w"))
+    weights = settled(sums.join(F.broadcast(total)).select(F.col("_y").alias("_yy"), (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("_w")))  # every fit reads them
     rows = rows.join(F.broadcast(weights), F.col("_y") == F.col("_yy"))
     return StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(rows).transform(rows)
 
@@ -136,23 +137,21 @@ def baseline_importances(df: DataFrame, columns: list[str], label: str, trees: i
 
 def permutation_costs(test: DataFrame, model, columns: list[str], seed: int, groups: dict[str, list[str]] | None = None) -> list[tuple[str, str, float]]:
     """Accuracy lost on held-out rows when a column (or a group of columns together) is dealt anew by hash order; 0 at least."""
-    test = test.select("_y", *columns, F.xxhash64(F.lit(seed), *columns, "_y").alias("_id"), "_raw", "_x")
+    test = settled(test.select("_y", *columns, F.xxhash64(F.lit(seed), *columns, "_y").alias("_id")))
     # Ranks inside hash cells pair each row with another of its cell, so no task orders all rows.
-    cell = F.pmod(F.col("_id"), F.lit(max(1, test.count() // 10_000)))
-    test = test.withColumn("_cell", cell)
-    scaler = test.select("_raw", "_x").first()
-    base = model.transform(test).agg(F.avg((F.col("prediction") == F.col("_y")).cast("int"))).first()[0] or 0.0
-    out = []
-    if scaler is None:
+    count = test.count()
+    if not count:
         return [("permutation", f, 0.0) for f in (groups or columns)]
-    natural = test.withColumn("_r", F.row_number().over(Window.partitionBy("_cell").orderBy("_id", *columns)))
+    cell = F.pmod(F.col("_id"), F.lit(max(1, count // 10_000)))
+    test = test.withColumn("_cell", cell)
+    natural = settled(test.select("_cell", "_y", *columns, F.row_number().over(Window.partitionBy("_cell").orderBy("_id", *columns)).alias("_r")))
+    assembler = VectorAssembler(inputCols=columns, outputCol="_x")
+    score = lambda d: model.transform(assembler.transform(d)).agg(F.avg((F.col("prediction") == F.col("_y")).cast("int"))).first()[0] or 0.0
+    plain, out = score(test), []
     for name, own in (groups or {f: [f] for f in columns}).items():
         mixed = test.select("_cell", *(F.col(c).alias(f"_m{c}") for c in own), F.row_number().over(Window.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 1), "_id"), *columns)).alias("_r"))
         swapped = natural.join(mixed, ["_cell", "_r"]).select("_y", *(F.col(f"_m{c}").alias(c) if c in own else F.col(c) for c in columns))
-        again = VectorAssembler(inputCols=columns, outputCol="_x").transform(swapped)
-        plain = VectorAssembler(inputCols=columns, outputCol="_x").transform(natural.select("_y", *columns))
-        score = lambda d: model.transform(d).agg(F.avg((F.col("prediction") == F.col("_y")).cast("int"))).first()[0] or 0.0
-        out.append(("permutation", name, max(0.0, score(plain) - score(again))))
+        out.append(("permutation", name, max(0.0, plain - score(swapped))))
     return out
 
 

@@ -115,3 +115,21 @@ def test_forests_take_tasks_by_rows(spark):
     assert redundancy.forest_rows(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 1
     x = spark.range(2000).selectExpr("cast(id % 40 AS double) AS x", "cast(id % 7 AS double) AS z", "cos(id % 40 / 8) AS y")
     assert redundancy.forest_r2(x, "y", ["x", "z"], trees=5) > 0.9
+
+
+def test_a_permutation_scores_the_rows_as_they_are_once(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from quillon.operators import learning
+
+    class Model:
+        calls = 0
+
+        def transform(self, df):
+            Model.calls += 1
+            return df.withColumn("prediction", vector_to_array("_x")[0])
+
+    rows = spark.range(400).selectExpr("cast(id % 2 AS double) AS a", "cast(id % 5 AS double) AS b", "cast(id % 3 AS double) AS c", "cast(id % 2 AS double) AS _y")
+    costs = learning.permutation_costs(rows, Model(), ["a", "b", "c"], 0)
+    assert Model.calls == 4 and [n for _, n, _ in costs] == ["a", "b", "c"]
+    assert costs[0][2] > 0.2 and costs[1][2] == costs[2][2] == 0
