@@ -41,7 +41,7 @@ class Shipper:
             return
         entries, bucket = np.concatenate([p for p, _ in self.parts]), np.concatenate([b for _, b in self.parts])
         self.parts, self.held = [], 0
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets <= 1 << 16 else bucket, kind="stable")  # 16 bits are sorted by radix
         entries, bucket = entries[order], bucket[order]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int64()), pa.array([entries[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["bucket", "entries"])
@@ -50,7 +50,14 @@ class Shipper:
 def unpacked(blobs) -> tuple[np.ndarray, np.ndarray]:
     """(distinct entries sorted by key, aux and id; edges of the runs of one key)."""
     entries = np.frombuffer(b"".join(blobs), ENTRY)
-    entries = entries[np.lexsort((entries["id"], entries["aux"], entries["key"]))]
+    order = np.argsort(entries["key"])
+    key = entries["key"][order]
+    equal = np.concatenate([[False], key[1:] == key[:-1], [False]])
+    tied = np.flatnonzero(equal[1:] | equal[:-1])  # most keys have one entry, and need no second look
+    if len(tied):
+        ties = entries[order[tied]]
+        order[tied] = order[tied][np.lexsort((ties["id"], ties["aux"], ties["key"]))]
+    entries = entries[order]
     if len(entries):
         entries = entries[np.concatenate([[True], entries[1:] != entries[:-1]])]
     change = np.flatnonzero(entries["key"][1:] != entries["key"][:-1]) + 1 if len(entries) else np.zeros(0, np.int64)

@@ -130,3 +130,48 @@ def test_clashing_names_and_lines_that_a_polynomial_hash_mixes_up(spark):
     out = L.dedup_lines(spark.createDataFrame(rows, ["doc_id", "text", *names])).collect()
     assert {r.doc_id: r.text for r in out} == {1: a + "\nx", 2: b, 3: ""}
     assert {(r._row, r.row, r.key) for r in out} == {("_row", "row", "key")} and {tuple(r.dropped) for r in out} == {(), (0,)}
+
+
+def test_every_text_is_cut_into_lines_in_two_passes(spark):
+    """One pass finds places and counts, one sends index entries; a third read fetches the linked lines. It was five reads."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    rows = [(i, f"a line of its own that has the number {i * 7919}\nthe line that all of the documents share") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = L.dropped_lines(frame.withColumn("text", L.F.udf(read, "string").asNondeterministic()("text"))).collect()
+    assert {(r.doc_id, r.n_lines) for r in out} == {(i, 2) for i in range(40)} and all("1" in r.dropped for r in out if r.doc_id)
+    assert reads.value <= 3 * len(rows)
+
+
+def test_entries_are_not_sent_again_as_probes():
+    text = np.frombuffer("\n".join("abcdefgh" * 4 + str(i) for i in range(9)).encode(), np.uint8)
+    lines = L.Lines(text, np.array([0, len(text)]), 20)
+    sent = [(int(k), int(w), p) for key, which, p in lines.keys(np.arange(9), 2, own=False) for k, w in zip(key, which)]
+    entries = {(k, w) for k, w, p in sent if not p}
+    assert len(entries) == 27 and len(sent) == 9 * 12 and not entries & {(k, w) for k, w, p in sent if p}
+
+
+def test_signatures_count_characters():
+    texts = ["a" * 300 + "bé", "\U0001f600\U0001f601 ab", "é" * 4000 + "x" * 9000, "", "plain", ""]
+    for joined in ("\n".join(texts), "a" * 20 + "\n" + "b" * 700):
+        data = np.frombuffer(joined.encode(), np.uint8)
+        lines = L.Lines(data, np.array([0, len(data)]), 0)
+        for found, text in zip(lines.signatures(np.arange(len(lines.row))), joined.split("\n"), strict=True):
+            counts = [0] * 15
+            for c in text:
+                counts[int(L.hashing.mix(np.array([ord(c) + 1], np.uint64))[0] % np.uint64(15))] += 1
+            assert int(found) == sum((n % 16) << 4 * k for k, n in enumerate(counts))
+
+
+def test_line_counts_and_lines_joined_without_broadcast(spark, monkeypatch):
+    rows = [r[:2] for r in corpus(4)] + [(501, ""), (502, "\n\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = lambda: sorted(map(str, L.dropped_lines(frame).collect()))
+    usual = ordered()
+    monkeypatch.setattr(L, "BROADCAST_LINES", 0)
+    assert ordered() == usual
+    assert sorted((str(r.doc_id), r.n_lines) for r in L.dropped_lines(frame).collect()) == sorted((str(k), (x.count("\n") + 1) if x else 0) for k, x in rows)
