@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 18) + 1)  # a usual run of texts (lines.CHUNK); workers keep the tables
         powers = np.full(size, _BASE, np.uint64)
         powers[0] = 1
         inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
