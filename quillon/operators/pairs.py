@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The least and the most rows of a block, and the blocks of a table between them.
@@ -77,14 +77,18 @@ def nearest(rows: int, columns: int, rough: Callable[[slice, slice], np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def block_pairs(df: DataFrame, key: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, vector: str, label: str, block: int = BLOCK, element: str = "double", placed: tuple[Column, int] | None = None) -> DataFrame:
     """(i_blk, j_blk, side, key, vector, label): every row dealt to the block pairs it takes part in, i_blk <= j_blk.
 
-    All pairs are asked for, so the work is quadratic by nature; each task holds two blocks, whatever the table's size.
+    All pairs are asked for, so the work is quadratic by nature; each task holds two blocks, whatever the table's size. `placed` gives each row's
+    block and the number of blocks; without it blocks are cut by hash.
     """
-    blocks = block_count(df.count(), block)
-    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).cast("long").alias("label"), own.alias("blk"))
+    if placed:
+        own, blocks = placed
+    else:
+        blocks = block_count(df.count(), block)
+        own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast(f"array<{element}>").alias("vector"), F.col(label).cast("long").alias("label"), own.alias("blk"))
     left = rows.select(F.col("blk").alias("i_blk"), F.explode(F.sequence(F.col("blk"), F.lit(blocks - 1))).alias("j_blk"), F.lit(0).alias("side"), "key", "vector", "label")
     right = rows.where("blk > 0").select(F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("i_blk"), F.col("blk").alias("j_blk"), F.lit(1).alias("side"), "key", "vector", "label")
     return dealt(left.unionByName(right), blocks * (blocks + 1) // 2, "i_blk", "j_blk")
